@@ -58,14 +58,17 @@ def build_index(rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 
 def groups(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """key, sha, keep_id, group_size of every text whose key occurs more than once, by comparing whole bytes."""
+    """key, sha, keep_id, group_size of every text whose key occurs more than once, by comparing whole bytes.
+
+    Whole texts are hash-aggregated inside each task before they are dealt out, so a text is sent once by a task however
+    many copies the task has read, and primitive buffers keep texts from being sorted.
+    """
     chains = index.where("n > 1").select("key")
-    suspects = docs.select("doc_id", _normalised().alias("norm"), F.length(text_or_empty()).cast("long").alias("points")).withColumn("key", F.xxhash64("norm"))
-    suspects = suspects.join(chains, "key", "left_semi")
-    # Primitive buffers only, so that whole texts are hash-aggregated before the shuffle and never sorted.
-    same = suspects.groupBy("key", "norm", "points").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    texts = docs.select("doc_id", _normalised().alias("norm"), F.length(text_or_empty()).cast("long").alias("points")).withColumn("key", F.xxhash64("norm"))
+    same = texts.groupBy("key", "norm", "points").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     same = same.select("key", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "points", "n", "first")
-    return same.groupBy("key", "sha").agg(
+    chained = same.join(chains, "key", "left_semi")
+    return chained.groupBy("key", "sha").agg(
         F.min(F.struct((-F.col("points")).alias("less"), F.col("first").isNull().alias("none"), "first")).alias("best"), F.sum("n").alias("group_size")
     ).select("key", "sha", F.col("best.first").alias("keep_id"), "group_size")
 
