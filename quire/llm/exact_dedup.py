@@ -11,7 +11,7 @@ before any shuffle, so a group with a third of all rows costs one entry for each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm._common import SPACE, materialise, text_or_empty
@@ -65,7 +65,8 @@ def groups(docs: DataFrame, index: DataFrame) -> DataFrame:
     """
     chains = index.where("n > 1").select("key")
     texts = docs.select("doc_id", _normalised().alias("norm"), F.length(text_or_empty()).cast("long").alias("points")).withColumn("key", F.xxhash64("norm"))
-    same = texts.groupBy("key", "norm", "points").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    # The key is an aggregate, not a grouping column, so that the chain filter isn't planned below the sums.
+    same = texts.groupBy("norm", "points").agg(F.max("key").alias("key"), F.count("*").alias("n"), F.min("doc_id").alias("first"))
     same = same.select("key", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "points", "n", "first")
     chained = same.join(chains, "key", "left_semi")
     return chained.groupBy("key", "sha").agg(
