@@ -106,4 +106,4 @@ FROM t WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 def kept_documents(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_dedup drops."""
     gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.distinct(), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.hint("merge").join(gone.distinct(), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")

@@ -114,3 +114,30 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     taken = taken.groupBy("doc_id", "key", "size", "start").agg(F.sum("took").alias("taken")).drop("start")
     taken = taken.unionByName(rows.where("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken")))
     return taken.join(sources, "key").select("doc_id", F.expr("if(key = 'b', null, substring(key, 2))").alias("source"), "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """docs as the mix takes them, in the columns of docs.
+
+    A document is repeated as often as its words are taken whole, and a rest of its words, if any, is one more row whose text is
+    that many leading words one space apart; documents that the mix leaves out are gone. n_chars, where there
+    is such a column, follows the text.
+    """
+    shares = mix(docs, block, seed).where("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("taken").alias("mix_taken"))
+    own = F.struct("*").alias("row")
+    rows = docs.select(own, F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), word_count().alias("own_size"))
+    rows = rows.hint("merge").join(shares, F.col("own_id").eqNullSafe(F.col("mix_id")) & F.col("own_source").eqNullSafe(F.col("mix_source")) & (F.col("own_size") == F.col("mix_size")))
+    whole, rest = F.expr("cast(mix_taken div own_size as int)"), F.expr("cast(mix_taken % own_size as int)")
+    parts = F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = rows.select("row", F.explode(parts).alias("words"))
+    leading = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(NOT_SPACE), F.lit(0)), F.lit(1), F.col("words")), " ")
+    rows = rows.withColumn("cut", F.when(F.col("words").isNull(), F.col("row.text")).otherwise(leading))
+    out = []
+    for f in docs.schema.fields:
+        if f.name == "text":
+            out.append(F.col("cut").alias("text"))
+        elif f.name == "n_chars":
+            out.append(F.length("cut").cast(f.dataType).alias("n_chars"))
+        else:
+            out.append(F.col(f"row.`{f.name}`").alias(f.name))
+    return rows.select(*out)

@@ -303,5 +303,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id."""
+    gone = near_dedup(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.hint("merge").join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+
+
 def op8(spark, sf_dir):
     return near_dedup(documents(spark, sf_dir))
