@@ -152,6 +152,7 @@ def test_output_shards_follow_the_targets(frame):
 
 def test_pack(frame, awkward_rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
     extra = rows_of(["\n" * 5000, "  " * 3000 + "x", "<|endoftext|> and <s>", "🙂🙃 é́ ﬁ", "'s 't don't 12345"], first=500)
     rows = awkward_rows + extra
     ids = Counter()
