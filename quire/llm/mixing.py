@@ -17,6 +17,8 @@ from quire.llm._common import NOT_SPACE, bucket_of, materialise, root_of, text_o
 
 #: Words in a block, slots in an output shard, passes over a source at most, weights by rank.
 BLOCK, SHARD_SLOTS, PASSES, WEIGHTS, ROUNDS = 128, 8192, 3, (5.0, 2.0, 1.0), 24
+#: Slots that one task makes.
+TASK_SLOTS = 50_000
 
 
 def word_count() -> Column:
@@ -70,7 +72,8 @@ def mix_slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_S
     total = s.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, -(-total // shard_slots))
     s = s.where("slots > 0").withColumn("chunk", F.explode(F.expr("sequence(0L, (slots - 1) div step)")))
-    s = s.repartition(F.col("key"), F.col("chunk"))
+    # A chunk is one small row before its slots are made, so the number of tasks is set by the slots and not by bytes.
+    s = s.repartition(max(1, -(-total // TASK_SLOTS)), "key", "chunk")
     s = s.withColumn("slot", F.explode(F.expr("sequence(chunk * step, least(slots, (chunk + 1) * step) - 1)")))
     s = s.withColumn("pass", F.expr("slot div blocks")).withColumn("rank", F.expr("slot % blocks"))
     s = s.withColumn("draw", F.xxhash64("key", "pass", F.lit(seed)))
@@ -110,7 +113,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     pieces = pieces.withColumn("hi", F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block))
     uses = mix_slots(sources, block, seed=seed).groupBy("key", "block").agg(F.collect_list("words").alias("uses"))
     took = F.aggregate(F.col("uses"), F.lit(0).cast("long"), lambda n, w: n + F.greatest(F.lit(0), F.least(w, F.col("hi")) - F.col("lo")))
-    taken = pieces.join(uses, ["key", "block"], "left").select("doc_id", "key", "size", "start", F.coalesce(took, F.lit(0)).alias("took"))
+    # The slots grow with the corpus, though they are made from one small row for each source.
+    taken = pieces.join(uses.hint("merge"), ["key", "block"], "left").select("doc_id", "key", "size", "start", F.coalesce(took, F.lit(0)).alias("took"))
     taken = taken.groupBy("doc_id", "key", "size", "start").agg(F.sum("took").alias("taken")).drop("start")
     taken = taken.unionByName(rows.where("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken")))
     return taken.join(sources, "key").select("doc_id", F.expr("if(key = 'b', null, substring(key, 2))").alias("source"), "size", "source_size", "target", "taken")
