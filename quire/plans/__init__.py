@@ -1,0 +1,6 @@
+"""Queries of the engine over the driver's tables."""
+
+from quire.plans import document_queries, geometry_queries, sequence_queries, signal_queries, spatial_queries, text_queries  # noqa: F401
+from quire.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
