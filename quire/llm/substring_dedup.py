@@ -6,8 +6,8 @@ work: only minimizers that occur twice or more can hold a repeat, and all pieces
 meet in one shard. A shard builds an FM-index of its distinct pieces (suffix array, Burrows-Wheeler
 transform, wavelet matrix over word numbers) and streams pieces against it: backward search from
 each window's last word narrows the suffix interval, and a window whose whole length still has two
-occurrences is reported. Pieces of a very frequent minimizer are not gathered: their windows are
-counted by a 128-bit hash with map-side sums and joined back.
+occurrences is reported. Pieces of a very frequent minimizer are not gathered: equal texts and equal pieces are
+summed, and the windows of the distinct pieces are counted by a 128-bit hash with map-side sums.
 """
 
 from __future__ import annotations
@@ -19,13 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm import _text
 from quire.llm._common import documents, with_package
 
 WINDOW, GRAM = 35, 8
 #: Pieces of one minimizer above which its windows are counted instead of indexed; bytes of text in one index.
-CROWD, SHARD_BYTES = 256, 3 << 20
+CROWD, SHARD_BYTES = 4096, 3 << 20
+#: In place of a number of windows: every one of the document.
+ALL = -1
 
 
 class WaveletMatrix:
@@ -128,34 +131,31 @@ def occurrences(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
 
 
 def _pieces(docs: DataFrame, window: int) -> DataFrame:
-    """docs(doc, text, runs) -> m, crowded, doc, first, n, piece: the text of each run, words one space apart."""
+    """docs(doc, doc_id, text, runs, copies) -> m, doc, first, n, piece, copies: the text of each run, words one space apart."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = _text.string_buffer(batch.column(1))
-            lists = batch.column(2)
+            raw, offsets = _text.string_buffer(batch.column(2))
             for a, b in _text.slices(offsets):
-                part, runs = raw[offsets[a] : offsets[b]], lists.slice(a, b - a)
+                part, runs = raw[offsets[a] : offsets[b]], batch.column(3).slice(a, b - a)
                 starts, ends, index = _text.words(part, offsets[a : b + 1] - offsets[a])
-                count = np.diff(np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())]))
+                doc = np.repeat(np.arange(b - a), runs.value_lengths().to_numpy())
                 flat = runs.flatten()
-                m, crowded, first, n = (flat.field(k) for k in range(4))
-                doc = np.repeat(np.arange(b - a), count)
+                m, first, n = (flat.field(k) for k in range(3))
                 lo = index[doc] + first.to_numpy()
-                words_in = n.to_numpy() + window - 1
+                hi = lo + n.to_numpy() + window - 2
                 joined, at = _joined(part, starts, ends)
-                begin, end = at[lo], at[lo + words_in - 1] + (ends - starts)[lo + words_in - 1]
-                size = end - begin
-                offs = np.concatenate([[0], np.cumsum(size)])
+                begin, end = at[lo], at[hi] + (ends - starts)[hi]
+                offs = np.concatenate([[0], np.cumsum(end - begin)])
                 data = np.empty(int(offs[-1]), np.uint8)
-                view = memoryview(joined)
-                out = memoryview(data)
+                view, out = memoryview(joined), memoryview(data)
                 for i in range(len(begin)):
                     out[offs[i] : offs[i + 1]] = view[begin[i] : end[i]]
                 text = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([m, crowded, batch.column(0).slice(a, b - a).take(pa.array(doc)), first, n, text], ["m", "crowded", "doc", "first", "n", "piece"])
+                whose = pa.array(a + doc)
+                yield pa.RecordBatch.from_arrays([m, batch.column(0).take(whose), first, n, text, batch.column(4).take(whose)], ["m", "doc", "first", "n", "piece", "copies"])
 
-    return docs.mapInArrow(cut, "m long, crowded boolean, doc long, first long, n long, piece string")
+    return docs.mapInArrow(cut, "m long, doc long, first long, n long, piece string, copies long")
 
 
 def _joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,13 +251,17 @@ def _indexed(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def _counted(pieces: DataFrame, window: int) -> DataFrame:
-    """Repeated windows of crowded minimizers, by counts of 128-bit hashes: doc, first, n."""
+    """Repeated windows of crowded minimizers: doc, spans.
+
+    Equal pieces are summed before anything else, so a group of copies costs one piece. The windows of the distinct pieces are
+    counted by 128-bit hashes, and every occurrence of a piece takes the piece's runs of repeated windows.
+    """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4000):
                 part = batch.slice(k, 4000)
-                raw, offsets = _text.string_buffer(part.column(5))
+                raw, offsets = _text.string_buffer(part.column(0))
                 starts, ends, index = _text.words(raw, offsets)
                 h = _text.word_hashes(raw, starts, ends)
                 n = np.maximum(np.diff(index) - window + 1, 0)
@@ -265,13 +269,30 @@ def _counted(pieces: DataFrame, window: int) -> DataFrame:
                 at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
                 go = index[:-1][piece] + at
                 one, two = _text.gram_hashes(h, window)[go], _text.gram_hashes(_text.mix64(h ^ np.uint64(0x5851F42D4C957F2D)), window)[go]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(2).take(pa.array(piece)), pa.array(part.column(3).to_numpy()[piece] + at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc", "first", "h1", "h2"]
-                )
-
-    each = pieces.mapInArrow(windows, "doc long, first long, h1 long, h2 long")
-    often = each.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    return each.join(often, ["h1", "h2"], "left_semi").select("doc", "first", F.lit(1).cast("long").alias("n"))
+                # A piece that repeats itself has one row for each distinct window.
+                order = np.lexsort((at, two, one, piece))
+                piece, at, one, two = piece[order], at[order], one[order], two[order]
+                new = np.flatnonzero(np.append(len(piece) > 0, (piece[1:] != piece[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(piece)])
+                times = np.diff(np.append(new, len(piece)))
+                whose = pa.array(piece[new])
+                ats = pa.ListArray.from_arrays(pa.array(np.append(new, len(piece)).astype(np.int32)), pa.array(at))
+                copies = pa.array(part.column(3).to_numpy()[piece[new]] * times)
+                yield pa.RecordBatch.from_arrays([part.column(1).take(whose), part.column(2).take(whose), copies, ats, pa.array(one[new].view(np.int64)), pa.array(two[new].view(np.int64))], ["p1", "p2", "copies", "ats", "h1", "h2"])
+
+    named = pieces.withColumns({"p1": F.xxhash64("piece"), "p2": F.xxhash64("piece", F.lit(1))})
+    distinct = named.groupBy("piece", "p1", "p2").agg(F.sum("copies").alias("copies"))
+    each = distinct.mapInArrow(windows, "p1 long, p2 long, copies long, ats array<long>, h1 long, h2 long")
+    often = each.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).where("c > 1").select("h1", "h2")
+    hits = each.join(often, ["h1", "h2"], "left_semi").groupBy("p1", "p2").agg(F.array_sort(F.flatten(F.collect_list("ats"))).alias("ats"))
+    none = F.array().cast("array<struct<at:bigint,n:bigint>>")
+
+    def extend(runs, at):
+        last = F.element_at(runs, -1)
+        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["at"] + F.try_element_at(runs, F.lit(-1))["n"] == at), F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["at"].alias("at"), (last["n"] + 1).alias("n"))))).otherwise(F.concat(runs, F.array(F.struct(at.alias("at"), F.lit(1).cast("long").alias("n")))))
+
+    hits = hits.select("p1", "p2", F.aggregate("ats", none, extend).alias("found"))
+    met = named.select("doc", "first", "p1", "p2").join(hits, ["p1", "p2"])
+    return met.select("doc", F.transform("found", lambda r: F.struct((F.col("first") + r["at"]).alias("first"), r["n"].alias("n"))).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -283,16 +304,29 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    # A row is known by a number made of its id and text, so that equal ids stay apart and a lost task makes the same number again.
-    named = plain.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
+    # A row is known by its id where ids are unique, else by a number made of its id and text: equal ids stay apart, and a lost task makes the same number again.
+    rows, ids = plain.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")) if rows == ids and isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.xxhash64("doc_id", "text")
+    named = plain.select(own.alias("doc"), "doc_id", "text")
     runs = occurrences(named.select("doc", "text"), window, gram)
     often = runs.groupBy("m").agg(F.sum("places").alias("c")).where("c > 1")
-    marked = runs.join(often, "m").select("doc", F.struct("m", (F.col("c") > crowd).alias("crowded"), "first", "n").alias("run"))
+    marked = runs.join(often, "m").select("doc", F.struct("m", "first", "n", (F.col("c") > crowd).alias("crowded")).alias("run"))
     marked = marked.groupBy("doc").agg(F.collect_set("run").alias("runs"))
-    pieces = _pieces(named.select("doc", "text").join(marked, "doc"), window)
-    quiet = pieces.where("not crowded").select("m", "doc", "first", "n", "piece").repartition("m").sortWithinPartitions("m")
-    spans = _indexed(quiet, window).union(_counted(pieces.where("crowded"), window))
-    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    # Always the same three columns, so that the texts are dealt once and that exchange is used again.
+    met = named.join(marked, "doc").select("doc", "doc_id", "text", "runs", F.lit(1).cast("long").alias("copies"))
+    of = lambda crowded: F.filter("runs", lambda r: r["crowded"] == F.lit(crowded))
+    quiet = _pieces(met.withColumn("runs", of(False)).where(F.size("runs") > 0), window)
+    spans = _indexed(quiet.select("m", "doc", "first", "n", "piece").repartition("m").sortWithinPartitions("m"), window)
+    # Of equal texts in a crowd one stands for all, and all their windows repeat.
+    hashed = named.select("doc", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
+    crowds = hashed.join(marked.where(F.exists("runs", lambda r: r["crowded"])).select("doc"), "doc")
+    alike = crowds.groupBy("t1", "t2").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
+    whole = crowds.join(alike.where("copies > 1").select("t1", "t2"), ["t1", "t2"], "left_semi")
+    whole = whole.select("doc", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(ALL).cast("long").alias("n"))).alias("spans"))
+    chosen = met.drop("copies").withColumn("runs", of(True)).where(F.size("runs") > 0).join(alike.select("doc", "copies"), "doc").select("doc", "doc_id", "text", "runs", "copies")
+    counted = _counted(_pieces(chosen, window), window)
+    spans = spans.select("doc", F.array(F.struct("first", "n")).alias("spans")).unionByName(counted).unionByName(whole)
+    spans = spans.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,10 +338,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
                 starts, ends, index = _text.words(part, offsets[a : b + 1] - offsets[a])
                 joined, at = _joined(part, starts, ends)
                 flat, lengths = found.flatten(), found.value_lengths().fill_null(0).to_numpy()
-                base = index[np.repeat(np.arange(b - a), lengths)] + flat.field(0).to_numpy()
+                whose, n = np.repeat(np.arange(b - a), lengths), flat.field(1).to_numpy()
+                base = index[whose] + flat.field(0).to_numpy()
                 change = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(change, base, 1)
-                np.add.at(change, base + flat.field(1).to_numpy() + window - 1, -1)
+                np.add.at(change, np.where(n == ALL, index[whose + 1], base + n + window - 1), -1)
                 kept = np.cumsum(change)[:-1] == 0
                 tail = np.append(at[1:], len(joined))
                 byte = np.repeat(kept, tail - at)
