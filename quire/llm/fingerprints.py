@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from quire.llm._common import NOT_SPACE, documents, materialise, root_of, text_or_empty
 
 BITS, RADIUS, BLOCKS = 128, 3, 5
+#: Ranges of ids at most: their bounds are literals in the plan. A range of more rows is sorted with spilling.
+MOST_RANGES = 4096
 _PAIR = (1 << 32) + 1
 
 
@@ -113,7 +115,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     n = rows.count()
-    ranges = root_of(n)
+    ranges = min(root_of(n), MOST_RANGES)
     shares = [i / ranges for i in range(1, ranges)]
     cuts = (rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * ranges)).alias("q")).first()[0] if shares else None) or []
     bucket = range_bucket(F.col("doc_id"), sorted(set(cuts)))
