@@ -7,13 +7,15 @@ positions at once; no Python string is made per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step holds; temporary arrays are a small multiple of it.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15
@@ -22,6 +24,23 @@ _BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np
 _powers: dict[int, np.ndarray] = {}
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """work as a task that gives freed memory back to the system at its end: Python workers live on and serve other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser over unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(33))

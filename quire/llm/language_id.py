@@ -274,7 +274,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(p, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return with_package(rows).mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return with_package(rows).mapInArrow(_text.lean(score), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def recognised(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -291,7 +291,7 @@ def recognised(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 rejected = shared.value.predict([t or "" for t in part.column(at).to_pylist()])[2]
                 yield part.filter(pa.array(~rejected))
 
-    return with_package(docs).mapInArrow(keep, docs.schema)
+    return with_package(docs).mapInArrow(_text.lean(keep), docs.schema)
 
 
 def op3(spark, sf_dir):

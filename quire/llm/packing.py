@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm import _text
 from quire.llm._common import documents, materialise, with_package
 
 LENGTH, END_ID = 2048, 1
@@ -74,7 +75,7 @@ def token_table(docs: DataFrame, make_encoder=public_encoder, end_id: int = END_
                 )
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return with_package(rows).mapInArrow(encode, f"part long, start long, doc_id {kind.simpleString()}, n long, ids binary")
+    return with_package(rows).mapInArrow(_text.lean(encode), f"part long, start long, doc_id {kind.simpleString()}, n long, ids binary")
 
 
 def pack(docs: DataFrame, make_encoder=public_encoder, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -106,7 +107,7 @@ def pack(docs: DataFrame, make_encoder=public_encoder, length: int = LENGTH, end
             longs = [pa.array(x, pa.int64()) for x in (start, size, crc, total, seq, off)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), *longs], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return placed.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(_text.lean(cut), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op6(spark, sf_dir):

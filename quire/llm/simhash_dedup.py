@@ -118,7 +118,7 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE
         ordinal = np.arange(int(shingles.sum())) - np.repeat(np.cumsum(shingles) - shingles, shingles)
         begin = np.repeat(index[:-1], shingles) + ordinal
         end = np.minimum(begin + shingle, np.repeat(index[1:], shingles)) - 1
-        step = 1 << 18
+        step = 1 << 16
         owner = np.repeat(np.arange(last - first), shingles)
         for k in range(0, len(begin), step):  # a very long document is counted a part at a time
             b, e, o = begin[k : k + step], end[k : k + step], owner[k : k + step]
@@ -140,7 +140,7 @@ def simhash(docs: DataFrame) -> DataFrame:
             fp = fingerprints_of(*_text.string_buffer(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return with_package(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(compute, f"doc_id {kind}, fp long")
+    return with_package(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_text.lean(compute), f"doc_id {kind}, fp long")
 
 
 def _golay() -> np.ndarray:
@@ -261,7 +261,7 @@ def _compare(cells: DataFrame) -> DataFrame:
         if len(rest_c):
             yield emit(rest_c, rest_f)
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_text.lean(compare), "a long, b long")
 
 
 def near_links(fingerprints: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
@@ -275,7 +275,7 @@ def near_links(fingerprints: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
                 row, anchor = anchors_near(part)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row].view(np.int64))], ["cell", "fp"])
 
-    spread = fingerprints.mapInArrow(replicate, "cell long, fp long")
+    spread = fingerprints.mapInArrow(_text.lean(replicate), "cell long, fp long")
     crowded = materialise(spread.groupBy("cell").count().where(F.col("count") > limit).select("cell"))
     normal = _compare(spread.join(crowded, "cell", "left_anti"))
     # Radius 0 around members of crowded anchors: the points are the cells, and a pair within two bits shares one.

@@ -127,7 +127,7 @@ def occurrences(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                 m, doc, first, n, places = _minimizer_runs(_text.word_hashes(part, starts, ends), index, window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(first), pa.array(n), pa.array(places)], ["m", "doc", "first", "n", "places"])
 
-    return with_package(docs).mapInArrow(scan, "m long, doc long, first long, n long, places long")
+    return with_package(docs).mapInArrow(_text.lean(scan), "m long, doc long, first long, n long, places long")
 
 
 def _pieces(docs: DataFrame, window: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _pieces(docs: DataFrame, window: int) -> DataFrame:
                 whose = pa.array(a + doc)
                 yield pa.RecordBatch.from_arrays([m, batch.column(0).take(whose), first, n, text, batch.column(4).take(whose)], ["m", "doc", "first", "n", "piece", "copies"])
 
-    return docs.mapInArrow(cut, "m long, doc long, first long, n long, piece string, copies long")
+    return docs.mapInArrow(_text.lean(cut), "m long, doc long, first long, n long, piece string, copies long")
 
 
 def _joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +247,7 @@ def _indexed(pieces: DataFrame, window: int) -> DataFrame:
         if held:
             yield run(pa.Table.from_batches(held))
 
-    return pieces.mapInArrow(search, "doc long, first long, n long")
+    return pieces.mapInArrow(_text.lean(search), "doc long, first long, n long")
 
 
 def _counted(pieces: DataFrame, window: int) -> DataFrame:
@@ -281,7 +281,7 @@ def _counted(pieces: DataFrame, window: int) -> DataFrame:
 
     named = pieces.withColumns({"p1": F.xxhash64("piece"), "p2": F.xxhash64("piece", F.lit(1))})
     distinct = named.groupBy("piece", "p1", "p2").agg(F.sum("copies").alias("copies"))
-    each = distinct.mapInArrow(windows, "p1 long, p2 long, copies long, ats array<long>, h1 long, h2 long")
+    each = distinct.mapInArrow(_text.lean(windows), "p1 long, p2 long, copies long, ats array<long>, h1 long, h2 long")
     often = each.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).where("c > 1").select("h1", "h2")
     hits = each.join(often, ["h1", "h2"], "left_semi").groupBy("p1", "p2").agg(F.array_sort(F.flatten(F.collect_list("ats"))).alias("ats"))
     none = F.array().cast("array<struct<at:bigint,n:bigint>>")
@@ -361,7 +361,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     done = named.join(spans, "doc", "left").select("doc_id", "text", "spans")
-    return done.mapInArrow(keep, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return done.mapInArrow(_text.lean(keep), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op1(spark, sf_dir):
