@@ -113,26 +113,3 @@ def least_loaded(servers: DataFrame) -> DataFrame:
     score = F.col("pending") / F.greatest(F.col("capacity"), F.lit(1))
     return servers.withColumn("score", score).orderBy("score", "pending", F.col("local").desc(), "server_id").limit(1)
 
-
-def batch_groups(areas: Sequence[float], wanted: int) -> list[int]:
-    """Sizes of batches over ascending areas: the power of two at or below wanted, halved as a batch's mean area grows to 4, 8, .. times the first's.
-
-    No batch is smaller than max(16, wanted / 4) but the last.
-    """
-    size = 1 << max(0, wanted.bit_length() - 1)
-    least, out, i, base = max(16, wanted // 4), [], 0, None
-    while i < len(areas):
-        while True:
-            part = areas[i : i + size]
-            mean = sum(part) / len(part)
-            base = mean if base is None else base
-            limit = 4
-            allowed = 1 << max(0, wanted.bit_length() - 1)
-            while base > 0 and mean >= limit * base and allowed > least:
-                allowed, limit = max(allowed // 2, least), limit * 2
-            if allowed >= size:
-                break
-            size = allowed
-        out.append(len(part))
-        i += len(part)
-    return out

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import render
-from quire.operators import assembly, cells, layout, tables
+from quire.operators import cells, layout, tables
 from quire.sources import files, office
 from quire.streaming import tasks
 
@@ -133,12 +133,6 @@ def test_packing_fills_the_least_filled_bin(spark):
     assert {r["doc_id"]: r["bin"] for r in tasks.pack_documents(docs, "batch").collect()} == {1: 0, 2: 1, 3: 2, 4: 2, 5: 1}
 
 
-def test_batches_shrink_as_areas_grow():
-    assert assembly.batch_groups([1.0] * 100, 70) == [64, 36]
-    assert assembly.batch_groups([1.0] * 64 + [5.0] * 64, 64) == [64, 32, 32]
-    assert assembly.batch_groups([], 64) == []
-
-
 def lines(*texts):
     return [([("text", t)], False) for t in texts]
 
