@@ -50,7 +50,11 @@ def paragraph(lines: Column, cjk: Column, escape: bool = True, list_break: str =
     Western spans are followed by a space, unless a hyphen ends the line; the hyphen goes where the next line begins with a
     lower-case letter. In CJK text only inline formulas and spans inside a line are followed by one. Displayed formulas are never.
     """
+    # Bound, so that neither is worked out again for every span.
+    return _bound(lines, lambda known: _bound(cjk, lambda is_cjk: _paragraph(known, is_cjk, escape, list_break)))
 
+
+def _paragraph(lines: Column, cjk: Column, escape: bool, list_break: str) -> Column:
     def span_part(span: Column, last: Column, lower: Column) -> Column:
         def joined(body: Column) -> Column:
             kind = span["type"]

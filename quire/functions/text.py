@@ -86,9 +86,13 @@ def no_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U:\s)+", "")
 
 
+_CJK = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af"
+
+
 def cjk_share(text: Column) -> Column:
     """Share of CJK, kana and hangul among letters; 0 without letters."""
-    return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")), F.regexp_count(text, F.lit(r"\p{L}"))), F.lit(0.0))
+    kept = lambda others: F.length(F.regexp_replace(text, others, ""))
+    return F.when(text.rlike(f"[{_CJK}]"), F.coalesce(F.try_divide(kept(f"[^{_CJK}]+"), kept(r"\P{L}+")), F.lit(0.0))).otherwise(0.0)
 
 
 def is_cjk(text: Column, share: float = 0.3) -> Column:
