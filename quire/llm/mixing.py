@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import NOT_SPACE, bucket_of, materialise, root_of, text_or_empty
+from quire.llm._common import NOT_SPACE, bucket_of, materialise, numbered, root_of, text_or_empty
 
 #: Words in a block, slots in an output shard, passes over a source at most, weights by rank.
 BLOCK, SHARD_SLOTS, PASSES, WEIGHTS, ROUNDS = 128, 8192, 3, (5.0, 2.0, 1.0), 24
@@ -85,33 +85,53 @@ def mix_slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_S
     return s.where("words > 0").select("key", "slot", F.pmod(F.xxhash64("key", "slot", F.lit(seed + 1)), F.lit(shards)).alias("out_shard"), "block", F.col("words").cast("long").alias("words"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, key (source, null last), size of every row, on the shared folder."""
+def sized(docs: DataFrame, *own: str) -> DataFrame:
+    """doc_id, key (source, null last), size and the columns own of every row, on the shared folder."""
     key = F.when(F.col("source").isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), F.col("source")))
-    return materialise(docs.select("doc_id", key.alias("key"), word_count().alias("size")))
+    return materialise(docs.select("doc_id", key.alias("key"), word_count().alias("size"), *own))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row.
+def pieces_of(rows: DataFrame, block: int, *own: str) -> DataFrame:
+    """doc_id, key, size, start, own, block, lo, hi: every row with words, once for each block of its source that it stands in.
 
-    taken counts words, repeats included; it is at most three times size, and a source's sum is its target
-    rounded. A null or wordless text has size 0 and nothing is taken; a null source is a source of its own and
-    comes last. Repeated rows are documents of their own. Columns besides doc_id, text and source are not read.
+    start is the row's first word within its source; lo and hi bound its words within the block. Rows that are equal in
+    doc_id, size and own may take each other's place.
     """
-    rows = sized(docs.select("doc_id", "text", "source"))
-    sources = materialise(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size"))))
     buckets = root_of(rows.count())
     rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), buckets))
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("key", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "bucket").orderBy("doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.where("size > 0").withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(sums, ["key", "bucket"]).select("doc_id", "key", "size", (F.col("base") + F.col("start")).alias("start"))
+    placed = placed.join(sums, ["key", "bucket"]).select("doc_id", "key", "size", *own, (F.col("base") + F.col("start")).alias("start"))
     pieces = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     pieces = pieces.withColumn("lo", F.greatest(F.lit(0), F.col("start") - F.col("block") * block))
-    pieces = pieces.withColumn("hi", F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block))
-    uses = mix_slots(sources, block, seed=seed).groupBy("key", "block").agg(F.collect_list("words").alias("uses"))
+    return pieces.withColumn("hi", F.least(F.lit(block), F.col("start") + F.col("size") - F.col("block") * block))
+
+
+def uses_of(sources: DataFrame, block: int, seed: int) -> DataFrame:
+    """key, block, uses: the words that each pass takes of a block, from its start, in the order of the passes.
+
+    A pass has one slot for each block and only the last one takes less than whole blocks, so falling order is theirs.
+    """
+    return mix_slots(sources, block, seed=seed).groupBy("key", "block").agg(F.sort_array(F.collect_list("words"), asc=False).alias("uses"))
+
+
+def sources_of(rows: DataFrame) -> DataFrame:
+    return materialise(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size"))))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row.
+
+    taken counts words, repeats included; it is at most three times size, and a source's sum is its target
+    rounded. A null or wordless text has size 0 and nothing is taken; a null source is a source of its own and
+    comes last. Repeated rows are documents of their own. Columns besides doc_id, text and source are not read.
+    """
+    rows = sized(docs.select("doc_id", "text", "source"))
+    sources = sources_of(rows)
+    pieces, uses = pieces_of(rows, block), uses_of(sources, block, seed)
     took = F.aggregate(F.col("uses"), F.lit(0).cast("long"), lambda n, w: n + F.greatest(F.lit(0), F.least(w, F.col("hi")) - F.col("lo")))
     # The slots grow with the corpus, though they are made from one small row for each source.
     taken = pieces.join(uses.hint("merge"), ["key", "block"], "left").select("doc_id", "key", "size", "start", F.coalesce(took, F.lit(0)).alias("took"))
@@ -120,24 +140,41 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     return taken.join(sources, "key").select("doc_id", F.expr("if(key = 'b', null, substring(key, 2))").alias("source"), "size", "source_size", "target", "taken")
 
 
+def taken_ranges(rows: DataFrame, block: int, seed: int, own: str) -> DataFrame:
+    """own, pass, first, last: the runs of neighbouring words that a pass of the mix takes of a row, last excluded.
+
+    rows: doc_id, key, size, own (a number of the row). A block is taken from its start, so a run ends where a block is cut or not taken.
+    """
+    pieces = pieces_of(rows, block, own)
+    met = pieces.join(uses_of(sources_of(rows), block, seed).hint("merge"), ["key", "block"])
+    met = met.select(own, "start", "block", "lo", "hi", F.posexplode("uses").alias("pass", "words")).withColumn("end", F.least("words", "hi")).where("end > lo")
+    begin = F.col("block") * block - F.col("start")
+    met = met.select(own, "pass", (begin + F.col("lo")).alias("first"), (begin + F.col("end")).alias("last"))
+    order = Window.partitionBy(own, "pass").orderBy("first")
+    met = met.withColumn("fresh", F.coalesce(F.lag("last").over(order) != F.col("first"), F.lit(True)).cast("int"))
+    met = met.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return met.groupBy(own, "pass", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+
+
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """docs as the mix takes them, in the columns of docs.
 
-    A document is repeated as often as its words are taken whole, and a rest of its words, if any, is one more row whose text is
-    that many leading words one space apart; documents that the mix leaves out are gone. n_chars, where there
-    is such a column, follows the text.
+    Every pass of the mix over a document gives a row for each run of neighbouring words that its slots take: the text as it
+    is where that is the whole document, else those words one space apart. Words in blocks that the mix leaves out are
+    gone. n_chars, where there is such a column, follows the text.
     """
-    shares = mix(docs, block, seed).where("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("taken").alias("mix_taken"))
-    own = F.struct("*").alias("row")
-    rows = docs.select(own, F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), word_count().alias("own_size"))
-    rows = rows.hint("merge").join(shares, F.col("own_id").eqNullSafe(F.col("mix_id")) & F.col("own_source").eqNullSafe(F.col("mix_source")) & (F.col("own_size") == F.col("mix_size")))
-    whole, rest = F.expr("cast(mix_taken div own_size as int)"), F.expr("cast(mix_taken % own_size as int)")
-    parts = F.concat(F.array_repeat(F.lit(None).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.select("row", F.explode(parts).alias("words"))
-    leading = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(NOT_SPACE), F.lit(0)), F.lit(1), F.col("words")), " ")
-    rows = rows.withColumn("cut", F.when(F.col("words").isNull(), F.col("row.text")).otherwise(leading))
+    own = "mixing_row"
+    docs = numbered(docs, own)
+    ranges = taken_ranges(sized(docs.select("doc_id", "text", "source", own), own), block, seed, own)
+    ranges = ranges.groupBy(F.col(own).alias("mix_row")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(own).alias("own_row")).hint("merge").join(ranges, F.col("own_row") == F.col("mix_row"))
+    size = F.size("all_words")
+    rows = rows.withColumn("all_words", F.regexp_extract_all(F.col("row.text"), F.lit(NOT_SPACE), F.lit(0)))
+    part = lambda r: F.array_join(F.slice("all_words", (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")), " ")
+    cuts = F.transform("runs", lambda r: F.when(r["last"] - r["first"] == size, F.col("row.text")).otherwise(part(r)))
+    rows = rows.select("row", F.explode(cuts).alias("cut"))
     out = []
-    for f in docs.schema.fields:
+    for f in docs.drop(own).schema.fields:
         if f.name == "text":
             out.append(F.col("cut").alias("text"))
         elif f.name == "n_chars":
