@@ -25,6 +25,8 @@ from quire.llm._common import documents, with_package
 ORDER, DISCOUNT = 5, 0.75
 #: Bounds of the training sample: documents of one language, documents in all, code points of a document that may be used.
 PER_LANGUAGE, IN_ALL, LONGEST = 300, 4000, 20_000
+#: Texts that a language needs to take part in calibration; the bound of rejection is MARGIN times the QUANTILE of the calibration's cross-entropies.
+ENOUGH, QUANTILE, MARGIN = 8, 0.99, 1.25
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -192,24 +194,24 @@ def _one_model(texts: list[str], order: int) -> tuple[list[tuple[np.ndarray, np.
 
 
 def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
-    """Models of all languages; every fourth text calibrates the score and the rejection, then all texts are learned."""
+    """Models of all languages; every fourth text of the languages with enough texts calibrates the score and the rejection, then all texts are learned."""
     languages = sorted(k for k, v in samples.items() if any(any(c.isalpha() for c in t) for t in v))
     if not languages:
         return Model([], [], [], [], np.zeros(0))
-    parts = {k: ([t for i, t in enumerate(samples[k]) if i % 4], samples[k][::4]) for k in languages}
-    if all(len(learn) >= 1 for learn, _ in parts.values()):
+    # Rare languages are left out of calibration; only where all are rare, two texts are enough.
+    tested = [k for k in languages if len(samples[k]) >= ENOUGH] or [k for k in languages if len(samples[k]) > 1]
+    parts = {k: ([t for i, t in enumerate(samples[k]) if i % 4], samples[k][::4]) for k in tested}
+    temperature, limit = 1.0, float("inf")
+    if tested:
         trial = _combine({k: learn for k, (learn, _) in parts.items()}, order)
-        held = [(k, t) for k in languages for t in parts[k][1]]
+        held = [(k, t) for k in tested for t in parts[k][1]]
         entropy, letters = trial.cross_entropies([t for _, t in held])
-        truth = np.array([trial.languages.index(k) if k in trial.languages else -1 for k, _ in held])
-        use = (letters > 0) & (truth >= 0)
-        temperature, limit = 1.0, float("inf")
+        truth = np.array([trial.languages.index(k) for k, _ in held])
+        use = letters > 0
         if use.any():
             loss = {t: -np.log(np.maximum(_posterior(entropy[use], letters[use], t)[np.arange(use.sum()), truth[use]], 1e-9)).mean() for t in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)}
             temperature = min(loss, key=loss.get)
-            limit = 1.5 * float(entropy[use].min(axis=1).max())
-    else:
-        temperature, limit = 1.0, float("inf")
+            limit = MARGIN * float(np.quantile(entropy[use].min(axis=1), QUANTILE, method="lower"))
     model = _combine({k: samples[k] for k in languages}, order)
     model.temperature, model.limit = temperature, limit
     return model
