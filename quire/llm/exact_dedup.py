@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm._common import SPACE, materialise, text_or_empty
+from quire.llm._common import SPACE, materialise, numbered, text_or_empty
 
 #: Entries a bucket holds before it splits, and the most bits of the key the directory may use.
 CAPACITY, MAX_DEPTH = 4096, 20
@@ -24,10 +24,10 @@ def _normalised():
     return F.regexp_replace(text_or_empty(), SPACE + "+", "")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (64-bit hash), sha (of the normalised text), points (code points of the original)."""
-    return docs.select("doc_id", _normalised().alias("norm"), F.length(text_or_empty()).cast("long").alias("points")).select(
-        "doc_id", F.xxhash64("norm").alias("key"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "points"
+def keyed(docs: DataFrame, *own: str) -> DataFrame:
+    """doc_id, key (64-bit hash), sha (of the normalised text), points (code points of the original), and the columns own."""
+    return docs.select("doc_id", *own, _normalised().alias("norm"), F.length(text_or_empty()).cast("long").alias("points")).select(
+        "doc_id", *own, F.xxhash64("norm").alias("key"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "points"
     )
 
 
@@ -104,6 +104,15 @@ FROM t WINDOW best AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.hint("merge").join(gone.distinct(), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    """docs with exactly one row of each group of equal texts, one of those that exact_dedup marks as kept.
+
+    Rows are told apart by numbers of their own: a repeated or null doc_id neither takes other texts along nor keeps copies.
+    """
+    own = "exact_dedup_row"
+    docs = numbered(docs, own)
+    rows = materialise(keyed(docs.select("doc_id", "text", own), own))
+    found = groups(docs.select("doc_id", "text"), build_index(rows))
+    copies = materialise(rows.join(found, ["key", "sha"]).select("sha", own, F.struct(~F.col("doc_id").eqNullSafe(F.col("keep_id")), -F.col("points"), own).alias("order")))
+    stay = copies.groupBy("sha").agg(F.min("order")[own].alias(own))
+    gone = copies.join(stay, ["sha", own], "left_anti").select(F.col(own).alias("gone_row"))
+    return docs.hint("merge").join(gone, docs[own] == gone["gone_row"], "left_anti").drop(own)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _text
-from quire.llm._common import documents, materialise, with_package
+from quire.llm._common import documents, materialise, numbered, with_package
 from quire.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -131,16 +131,16 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE
     return out
 
 
-def simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row; a null, empty or wordless text has 0."""
+def simhash(docs: DataFrame, *own: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the long columns own of every row; a null, empty or wordless text has 0."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = fingerprints_of(*_text.string_buffer(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *own])
 
-    return with_package(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(_text.lean(compute), f"doc_id {kind}, fp long")
+    return with_package(docs.select("doc_id", F.col("text").cast("string").alias("text"), *own)).mapInArrow(_text.lean(compute), ", ".join([f"doc_id {kind}", "fp long", *(f"{x} long" for x in own)]))
 
 
 def _golay() -> np.ndarray:
@@ -287,6 +287,15 @@ def near_links(fingerprints: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
     return normal.union(met.select("a", F.explode("members").alias("b")).where("a <> b").distinct())
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, fp) -> fp, root (one for each component), component_id."""
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(near_links(classes.select("fp")))
+    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    return grouped.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row.
 
@@ -295,18 +304,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Columns besides doc_id and text are not read.
     """
     rows = materialise(simhash(docs))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(near_links(classes.select("fp")))
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_named(rows).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id."""
-    gone = near_dedup(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.hint("merge").join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    """docs with exactly one row of each component, one of those with its smallest doc_id.
+
+    Rows are told apart by numbers of their own, so rows of other components under the same or a null doc_id stay.
+    """
+    own = "near_dedup_row"
+    docs = numbered(docs, own)
+    rows = materialise(simhash(docs.select("doc_id", "text", own), own))
+    first = rows.join(_named(rows), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = first.groupBy("root").agg(F.min(F.struct("fp", own))[own].alias("stay_row"))
+    return docs.hint("merge").join(stay, docs[own] == stay["stay_row"], "left_semi").drop(own)
 
 
 def op8(spark, sf_dir):
