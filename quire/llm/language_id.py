@@ -237,18 +237,24 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Whole texts by language from rows that are not held out: about PER_LANGUAGE, chosen by a hash of the id.
+    """Texts by language from rows that are not held out: about PER_LANGUAGE, chosen by a hash of the id.
+
+    They are whole, up to LONGEST code points; only a language whose rows are all longer gives their beginnings.
 
     The bound is in rows and in code points of a row, so what reaches the driver does not grow with the corpus.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    short = F.length("text") <= LONGEST
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).collect()
+    # Shares are of the rows that may be used; a language without short rows learns from the beginnings of its long ones.
+    counts = {r["lang"]: r["short"] or r["n"] for r in found}
     if not counts:
         return {}
     each = max(1, min(PER_LANGUAGE, IN_ALL // len(counts)))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(each / n))])
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11) / F.lit(float(1 << 53))
-    chosen = labelled.where((unit < F.element_at(share, F.col("lang"))) & (F.length("text") <= LONGEST)).select("lang", "text", unit.alias("u")).limit(2 * IN_ALL).collect()
+    usable = short | F.col("lang").isin([r["lang"] for r in found if not r["short"]])
+    chosen = labelled.where((unit < F.element_at(share, F.col("lang"))) & usable).select("lang", F.substring("text", 1, LONGEST).alias("text"), unit.alias("u")).limit(2 * IN_ALL).collect()
     out: dict[str, list[str]] = {k: [] for k in counts}
     for row in sorted(chosen, key=lambda r: (r["lang"], r["u"], r["text"])):
         out[row["lang"]].append(row["text"])
