@@ -1,11 +1,11 @@
 """Mixing sources to target weights (native).
 
-Each source's words, in a fixed order, are packed into blocks of a fixed length. The
-mix is a list of slots; every slot draws its output shard, so that a shard's counts by
-source are multinomial around the target shares, while each source's total stays
-exact. Slots are mapped to blocks by a pseudorandom permutation of the source's block
-numbers (swap-or-not rounds, one permutation for each pass over the source), and blocks
-join documents by number.
+Each source's words, in a fixed order, are packed into blocks of a fixed length. The mix is written in output
+shards of a fixed number of words; every shard draws how many words it takes of each source. The counts of a shard are a
+low-variance multinomial draw: one uniform number for each shard cuts the running shares of the sources, so that a count has
+the mean of the multinomial and is off by less than a word. What a source gives is the sum of its draws, up to the most passes over
+it. A shard's words of a source are slots of that source's stream; slots are mapped to blocks by a pseudorandom permutation of the
+source's block numbers (swap-or-not rounds, one permutation for each pass over the source), and blocks join documents by number.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import NOT_SPACE, bucket_of, materialise, numbered, root_of, text_or_empty
+from quire.llm._common import NOT_SPACE, bucket_of, materialise, named_rows, root_of, text_or_empty
 
 #: Words in a block, slots in an output shard, passes over a source at most, weights by rank.
 BLOCK, SHARD_SLOTS, PASSES, WEIGHTS, ROUNDS = 128, 8192, 3, (5.0, 2.0, 1.0), 24
@@ -55,34 +55,57 @@ def permuted(index: Column, size: Column, seed: Column, inverse: bool = False) -
     return F.aggregate(rounds, index.cast("long"), step)
 
 
+def draws(sources: DataFrame, shard_words: int, seed: int = 0) -> DataFrame:
+    """key, shard, begin, end: the words [begin, end) of its source's stream that an output shard takes.
+
+    sources: key, source_size, target. All shards but the last have shard_words words. A shard's uniform number u cuts the running
+    shares f of the sources, in key order: a source gets floor(n * f + u) - floor(n * f_before + u) of n words.
+    """
+    # One row for each source, then one for each source and shard.
+    order = Window.partitionBy(F.lit(0)).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(F.lit(0))
+    s = sources.withColumn("all", F.sum("target").over(whole)).where("all > 0")
+    s = s.withColumn("upto", F.least(F.lit(1.0), F.sum("target").over(order) / F.col("all"))).withColumn("before", F.lag("upto", 1, 0.0).over(whole.orderBy("key")))
+    s = s.withColumn("upto", F.when(F.lead("key").over(whole.orderBy("key")).isNull(), 1.0).otherwise(F.col("upto")))
+    s = s.withColumn("all", F.round("all").cast("long")).withColumn("shard", F.explode(F.expr(f"sequence(0L, (greatest(all, 1) - 1) div {shard_words})")))
+    n = F.least(F.lit(shard_words), F.col("all") - F.col("shard") * shard_words)
+    u = F.shiftrightunsigned(F.xxhash64("shard", F.lit(seed + 1)), 11) / F.lit(float(1 << 53))
+    s = s.withColumn("count", (F.floor(n * F.col("upto") + u) - F.floor(n * F.col("before") + u)).cast("long"))
+    so_far = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("end", F.sum("count").over(so_far)).withColumn("most", F.lit(PASSES) * F.col("source_size"))
+    return s.select("key", "source_size", "shard", F.least("most", F.col("end") - F.col("count")).alias("begin"), F.least("most", "end").alias("end"))
+
+
 def mix_slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
     """The slots of the mix: key, slot, out_shard, block, words (taken from the block's start).
 
-    sources: key, source_size, target.
+    sources: key, source_size, target. A slot belongs to the shard that its first word was drawn for; the last slot of a source ends
+    with the last word drawn.
     """
-    s = sources.where("source_size > 0").withColumn("wanted", F.round("target").cast("long"))
-    s = s.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
-    s = s.withColumn("full", F.expr("wanted div source_size")).withColumn("left", F.expr("wanted - full * source_size"))
+    s = materialise(draws(sources.where("source_size > 0"), shard_slots * block, seed))
+    total = s.agg(F.sum(F.expr("end - begin"))).first()[0] or 0
+    ends = s.groupBy("key").agg(F.max("end").alias("wanted"))
+    s = s.where("end > begin").withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     s = s.withColumn("short", F.col("source_size") - (F.col("blocks") - 1) * block)
-    # The last pass may need every block: blocks with nothing left to take are dropped below.
-    s = s.withColumn("slots", (F.col("full") + (F.col("left") > 0).cast("long")) * F.col("blocks"))
-    s = s.withColumn("step", F.greatest(F.lit(1), F.round(F.sqrt("slots"))).cast("long"))
-    # Rank of the short block in the last pass, once for each source.
-    s = s.withColumn("short_rank", permuted(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("key", "full", F.lit(seed)), inverse=True))
-    total = s.agg(F.sum("slots")).first()[0] or 0
-    shards = max(1, -(-total // shard_slots))
-    s = s.where("slots > 0").withColumn("chunk", F.explode(F.expr("sequence(0L, (slots - 1) div step)")))
-    # A chunk is one small row before its slots are made, so the number of tasks is set by the slots and not by bytes.
-    s = s.repartition(max(1, -(-total // TASK_SLOTS)), "key", "chunk")
-    s = s.withColumn("slot", F.explode(F.expr("sequence(chunk * step, least(slots, (chunk + 1) * step) - 1)")))
+    # A draw is one small row before its slots are made, so the number of tasks is set by the slots and not by bytes.
+    s = s.join(ends, "key").repartition(max(1, -(-total // (block * TASK_SLOTS))), "key", "shard")
+    short_rank = lambda at: permuted(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("key", at, F.lit(seed)), inverse=True)
+    # The first slot that begins at or after a word of the stream; in each pass the short last block stands at a rank of its own.
+    for name in ("begin", "end"):
+        s = s.withColumns({"pass": F.expr(f"{name} div source_size"), "rest": F.expr(f"{name} % source_size")}).withColumn("short_rank", short_rank(F.col("pass")))
+        late = F.col("rest") > F.col("short_rank") * block
+        rank = F.expr(f"(rest + {block - 1}) div {block}")
+        after = F.expr(f"(rest + {block} - short + {block - 1}) div {block}")
+        s = s.withColumn(f"slot_{name}", F.col("pass") * F.col("blocks") + F.when(late, after).otherwise(rank))
+    s = s.withColumns({"last_pass": F.expr("(wanted - 1) div source_size")}).withColumn("short_rank", short_rank(F.col("last_pass")))
+    s = s.where("slot_end > slot_begin").withColumn("slot", F.explode(F.expr("sequence(slot_begin, slot_end - 1)")))
     s = s.withColumn("pass", F.expr("slot div blocks")).withColumn("rank", F.expr("slot % blocks"))
     s = s.withColumn("draw", F.xxhash64("key", "pass", F.lit(seed)))
     s = s.withColumn("block", permuted(F.col("rank"), F.col("blocks"), F.col("draw")))
     s = s.withColumn("length", F.when(F.col("block") == F.col("blocks") - 1, F.col("short")).otherwise(F.lit(block)))
-    # Words before this rank in the pass: the short last block may stand before it.
-    s = s.withColumn("early", F.col("rank") * block - F.when(F.col("short_rank") < F.col("rank"), block - F.col("short")).otherwise(F.lit(0)))
-    s = s.withColumn("words", F.when(F.col("pass") < F.col("full"), F.col("length")).otherwise(F.greatest(F.lit(0), F.least(F.col("length"), F.col("left") - F.col("early")))))
-    return s.where("words > 0").select("key", "slot", F.pmod(F.xxhash64("key", "slot", F.lit(seed + 1)), F.lit(shards)).alias("out_shard"), "block", F.col("words").cast("long").alias("words"))
+    early = F.col("last_pass") * F.col("source_size") + F.col("rank") * block - F.when(F.col("short_rank") < F.col("rank"), block - F.col("short")).otherwise(F.lit(0))
+    words = F.when(F.col("pass") < F.col("last_pass"), F.col("length")).otherwise(F.greatest(F.lit(0), F.least(F.col("length"), F.col("wanted") - early)))
+    return s.withColumn("words", words).where("words > 0").select("key", "slot", F.col("shard").alias("out_shard"), "block", F.col("words").cast("long").alias("words"))
 
 
 def sized(docs: DataFrame, *own: str) -> DataFrame:
@@ -111,11 +134,11 @@ def pieces_of(rows: DataFrame, block: int, *own: str) -> DataFrame:
 
 
 def uses_of(sources: DataFrame, block: int, seed: int) -> DataFrame:
-    """key, block, uses: the words that each pass takes of a block, from its start, in the order of the passes.
+    """key, block, uses (struct of words and shard): what each pass takes of a block, from its start, and for which output shard.
 
     A pass has one slot for each block and only the last one takes less than whole blocks, so falling order is theirs.
     """
-    return mix_slots(sources, block, seed=seed).groupBy("key", "block").agg(F.sort_array(F.collect_list("words"), asc=False).alias("uses"))
+    return mix_slots(sources, block, seed=seed).groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("words", F.col("out_shard").alias("shard"))), asc=False).alias("uses"))
 
 
 def sources_of(rows: DataFrame) -> DataFrame:
@@ -123,37 +146,40 @@ def sources_of(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row.
+    """doc_id, source, size, source_size, target, taken, first_shard, last_shard of every row.
 
-    taken counts words, repeats included; it is at most three times size, and a source's sum is its target
-    rounded. A null or wordless text has size 0 and nothing is taken; a null source is a source of its own and
-    comes last. Repeated rows are documents of their own. Columns besides doc_id, text and source are not read.
+    taken counts words, repeats included; it is at most three times size, and a source's sum is what the output shards drew of it:
+    within a word for each shard of its target. first_shard and last_shard bound the output shards that take of the row (null where none
+    does). A null or wordless text has size 0 and nothing is taken; a null source is a source of its own and comes last. Repeated rows are documents of their own. Columns besides doc_id, text and source are not read.
     """
     rows = sized(docs.select("doc_id", "text", "source"))
     sources = sources_of(rows)
     pieces, uses = pieces_of(rows, block), uses_of(sources, block, seed)
-    took = F.aggregate(F.col("uses"), F.lit(0).cast("long"), lambda n, w: n + F.greatest(F.lit(0), F.least(w, F.col("hi")) - F.col("lo")))
+    took = F.aggregate(F.col("uses"), F.lit(0).cast("long"), lambda n, u: n + F.greatest(F.lit(0), F.least(u["words"], F.col("hi")) - F.col("lo")))
+    met = F.transform(F.filter("uses", lambda u: u["words"] > F.col("lo")), lambda u: u["shard"])
     # The slots grow with the corpus, though they are made from one small row for each source.
-    taken = pieces.join(uses.hint("merge"), ["key", "block"], "left").select("doc_id", "key", "size", "start", F.coalesce(took, F.lit(0)).alias("took"))
-    taken = taken.groupBy("doc_id", "key", "size", "start").agg(F.sum("took").alias("taken")).drop("start")
-    taken = taken.unionByName(rows.where("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken")))
-    return taken.join(sources, "key").select("doc_id", F.expr("if(key = 'b', null, substring(key, 2))").alias("source"), "size", "source_size", "target", "taken")
+    taken = pieces.join(uses.hint("merge"), ["key", "block"], "left")
+    taken = taken.select("doc_id", "key", "size", "start", F.coalesce(took, F.lit(0)).alias("took"), F.array_min(met).alias("low"), F.array_max(met).alias("high"))
+    taken = taken.groupBy("doc_id", "key", "size", "start").agg(F.sum("took").alias("taken"), F.min("low").alias("first_shard"), F.max("high").alias("last_shard")).drop("start")
+    none = F.lit(None).cast("long")
+    taken = taken.unionByName(rows.where("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken"), none.alias("first_shard"), none.alias("last_shard")))
+    return taken.join(sources, "key").select("doc_id", F.expr("if(key = 'b', null, substring(key, 2))").alias("source"), "size", "source_size", "target", "taken", "first_shard", "last_shard")
 
 
-def taken_ranges(rows: DataFrame, block: int, seed: int, own: str) -> DataFrame:
+def taken_ranges(rows: DataFrame, block: int, seed: int, *own: str) -> DataFrame:
     """own, pass, first, last: the runs of neighbouring words that a pass of the mix takes of a row, last excluded.
 
-    rows: doc_id, key, size, own (a number of the row). A block is taken from its start, so a run ends where a block is cut or not taken.
+    rows: doc_id, key, size, own (the row's name). A block is taken from its start, so a run ends where a block is cut or not taken.
     """
-    pieces = pieces_of(rows, block, own)
+    pieces = pieces_of(rows, block, *own)
     met = pieces.join(uses_of(sources_of(rows), block, seed).hint("merge"), ["key", "block"])
-    met = met.select(own, "start", "block", "lo", "hi", F.posexplode("uses").alias("pass", "words")).withColumn("end", F.least("words", "hi")).where("end > lo")
+    met = met.select(*own, "start", "block", "lo", "hi", F.posexplode("uses").alias("pass", "use")).withColumn("end", F.least("use.words", "hi")).where("end > lo")
     begin = F.col("block") * block - F.col("start")
-    met = met.select(own, "pass", (begin + F.col("lo")).alias("first"), (begin + F.col("end")).alias("last"))
-    order = Window.partitionBy(own, "pass").orderBy("first")
+    met = met.select(*own, "pass", (begin + F.col("lo")).alias("first"), (begin + F.col("end")).alias("last"))
+    order = Window.partitionBy(*own, "pass").orderBy("first")
     met = met.withColumn("fresh", F.coalesce(F.lag("last").over(order) != F.col("first"), F.lit(True)).cast("int"))
     met = met.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return met.groupBy(own, "pass", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
+    return met.groupBy(*own, "pass", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
@@ -163,22 +189,17 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> DataF
     is where that is the whole document, else those words one space apart. Words in blocks that the mix leaves out are
     gone. n_chars, where there is such a column, follows the text.
     """
-    own = "mixing_row"
-    docs = numbered(docs, own)
-    ranges = taken_ranges(sized(docs.select("doc_id", "text", "source", own), own), block, seed, own)
-    ranges = ranges.groupBy(F.col(own).alias("mix_row")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(own).alias("own_row")).hint("merge").join(ranges, F.col("own_row") == F.col("mix_row"))
+    file, row = "mixing_file", "mixing_row"
+    columns, kinds = docs.columns, {f.name: f.dataType for f in docs.schema.fields}
+    docs = named_rows(docs, file, row)
+    ranges = taken_ranges(sized(docs.select("doc_id", "text", "source", file, row), file, row), block, seed, file, row)
+    ranges = ranges.groupBy(F.col(file).alias("mix_file"), F.col(row).alias("mix_row")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(file).alias("own_file"), F.col(row).alias("own_row")).hint("merge")
+    rows = rows.join(ranges, (F.col("own_file") == F.col("mix_file")) & (F.col("own_row") == F.col("mix_row")))
     size = F.size("all_words")
     rows = rows.withColumn("all_words", F.regexp_extract_all(F.col("row.text"), F.lit(NOT_SPACE), F.lit(0)))
     part = lambda r: F.array_join(F.slice("all_words", (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int")), " ")
     cuts = F.transform("runs", lambda r: F.when(r["last"] - r["first"] == size, F.col("row.text")).otherwise(part(r)))
     rows = rows.select("row", F.explode(cuts).alias("cut"))
-    out = []
-    for f in docs.drop(own).schema.fields:
-        if f.name == "text":
-            out.append(F.col("cut").alias("text"))
-        elif f.name == "n_chars":
-            out.append(F.length("cut").cast(f.dataType).alias("n_chars"))
-        else:
-            out.append(F.col(f"row.`{f.name}`").alias(f.name))
-    return rows.select(*out)
+    new = {"text": F.col("cut"), "n_chars": F.length("cut")}
+    return rows.select(*[(new[c].cast(kinds[c]) if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns])
