@@ -16,16 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _text
-from quire.llm._common import documents, materialise, numbered, with_package
+from quire.llm._common import documents, materialise, named_rows, with_package
 from quire.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Members above which an anchor is refined.
 ANCHOR_LIMIT = 512
+#: Near copies of the pipeline: one of TABLES fingerprints of single words within RADIUS bits, those of five-word shingles within APART
+#: bits (a similarity of 0.8 is 9.7 bits on average), and numbers of words within a factor of BAND.
+TABLES, SHINGLES, APART, BAND = 3, 5, 13, 1.25
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -80,13 +83,24 @@ def xxh64_ranges(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed:
     return out
 
 
+#: Hashes that are counted at once: their counts fit in 16 bits.
+STEP = (1 << 16) - 1
+
+
 def _bit_sums(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Per document (runs of hashes that begin at firsts, none empty) how many hashes have each bit, most significant first."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    run = np.diff(np.append(firsts, len(hashes)))
-    if len(run) and run.max() < 256:
-        return np.add.reduceat(bits, firsts, axis=0, dtype=np.uint8).astype(np.int64)
-    return np.add.reduceat(bits, firsts, axis=0, dtype=np.int64)
+    """Per document (runs of at most STEP hashes that begin at firsts, none empty) how many hashes have each bit, most significant first.
+
+    Four bits are counted in one running sum, 16 bits apart; differences of running sums are counts whatever overflows between.
+    """
+    ends = np.append(firsts[1:], len(hashes))
+    out = np.empty((len(firsts), 64), np.int64)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    for k in range(16):
+        np.cumsum((hashes >> np.uint64(k)) & np.uint64(0x0001000100010001), out=total[1:])
+        found = total[ends] - total[firsts]
+        for lane in range(4):
+            out[:, 63 - k - 16 * lane] = ((found >> np.uint64(16 * lane)) & np.uint64(0xFFFF)).astype(np.int64)
+    return out
 
 
 def _lower_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,32 +117,31 @@ def _lower_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return out, at
 
 
-def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of the documents in a byte buffer."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
+def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE, tables: int = 1) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of the documents in a byte buffer; of more than one table a row for each, by other hashes."""
+    out = np.zeros((tables, len(offsets) - 1), np.uint64)
     for first, last in _text.slices(offsets):
         lo, hi = offsets[first], offsets[last]
         part = raw[lo:hi]
         starts, ends, index = _text.words(part, offsets[first : last + 1] - lo)
         count = np.diff(index)
-        sums, total = np.zeros((last - first, 64), np.int64), np.zeros(last - first, np.int64)
+        sums = np.zeros((tables, last - first, 64), np.int64)
         joined, at = _lower_words(part, starts, ends)
         size = ends - starts
         shingles = np.where(count > 0, np.maximum(count - shingle + 1, 1), 0)
         ordinal = np.arange(int(shingles.sum())) - np.repeat(np.cumsum(shingles) - shingles, shingles)
         begin = np.repeat(index[:-1], shingles) + ordinal
         end = np.minimum(begin + shingle, np.repeat(index[1:], shingles)) - 1
-        step = 1 << 16
         owner = np.repeat(np.arange(last - first), shingles)
-        for k in range(0, len(begin), step):  # a very long document is counted a part at a time
-            b, e, o = begin[k : k + step], end[k : k + step], owner[k : k + step]
+        for k in range(0, len(begin), STEP):  # a very long document is counted a part at a time
+            b, e, o = begin[k : k + STEP], end[k : k + STEP], owner[k : k + STEP]
             h = xxh64_ranges(joined, at[b], at[e] + size[e] - at[b], SEED)
             runs = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-            sums[o[runs]] += _bit_sums(h, runs)
-        total += shingles
-        bits = (2 * sums > total[:, None]).astype(np.uint8)
-        out[first:last] = np.packbits(bits, axis=1).view(">u8")[:, 0]
-    return out
+            for t in range(tables):
+                sums[t][o[runs]] += _bit_sums(h if not t else _text.mix64(h + np.uint64(t)), runs)
+        bits = (2 * sums > shingles[:, None]).astype(np.uint8)
+        out[:, first:last] = np.packbits(bits, axis=2).view(">u8")[:, :, 0]
+    return out if tables > 1 else out[0]
 
 
 def simhash(docs: DataFrame, *own: str) -> DataFrame:
@@ -210,16 +223,14 @@ def anchors_near(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, table[row, column]
 
 
-def _chains(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b), a spanning forest of the members within RADIUS bits in each cell. Rows come grouped by cell."""
+def _chains(cell: np.ndarray, prints: list[np.ndarray], radii: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) as row numbers: in each cell a spanning forest of the members whose prints are all within their radii. Rows come grouped by cell."""
     edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     outs_a, outs_b = [], []
     for lo, hi in zip(edges, np.append(edges[1:], len(cell)), strict=True):
         if hi - lo == 1:
             continue
-        x = fp[lo:hi]
-        left, a, b = np.arange(1, len(x)), [], []
-        frontier = [0]
+        left, frontier = np.arange(lo + 1, hi), [int(lo)]
         while True:
             if not frontier:
                 if not len(left):
@@ -229,59 +240,72 @@ def _chains(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             u = frontier.pop()
             if not len(left):
                 break
-            near = np.bitwise_count(x[left] ^ x[u]) <= RADIUS
+            near = np.bitwise_count(prints[0][left] ^ prints[0][u]) <= radii[0]
+            for x, radius in zip(prints[1:], radii[1:], strict=True):
+                near[near] = np.bitwise_count(x[left[near]] ^ x[u]) <= radius
             if near.any():
                 found = left[near]
-                a.append(np.full(len(found), x[u], np.uint64)), b.append(x[found])
+                outs_a.append(np.full(len(found), u)), outs_b.append(found)
                 frontier.extend(found.tolist())
                 left = left[~near]
-        outs_a += a
-        outs_b += b
-    none = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
     return np.concatenate([none, *outs_a]), np.concatenate([none, *outs_b])
 
 
-def _compare(cells: DataFrame) -> DataFrame:
-    """cells(cell, fp) dealt by cell -> links(a, b)."""
+def _compare(cells: DataFrame, radii: list[int]) -> DataFrame:
+    """cells(cell, one long for each radius) dealt by cell -> links(a0, .., b0, ..) between members."""
+    width = len(radii)
+    names = [f"{side}{k}" for side in "ab" for k in range(width)]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_c, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        def emit(c, f):
-            a, b = _chains(c, f)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        held = [np.zeros(0, np.int64) for _ in range(width + 1)]
+
+        def emit(columns):
+            a, b = _chains(columns[0], [x.view(np.uint64) for x in columns[1:]], radii)
+            return pa.RecordBatch.from_arrays([pa.array(x[side]) for side in (a, b) for x in columns[1:]], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = np.concatenate([rest_c, batch.column(0).to_numpy()])
-            f = np.concatenate([rest_f, batch.column(1).to_numpy().view(np.uint64)])
-            last = int(np.searchsorted(c, c[-1]))
-            rest_c, rest_f = c[last:], f[last:]
-            yield emit(c[:last], f[:last])
-        if len(rest_c):
-            yield emit(rest_c, rest_f)
+            held = [np.concatenate([rest, batch.column(k).to_numpy()]) for k, rest in enumerate(held)]
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            yield emit([x[:last] for x in held])
+            held = [x[last:] for x in held]
+        if len(held[0]):
+            yield emit(held)
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_text.lean(compare), "a long, b long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_text.lean(compare), ", ".join(f"{n} long" for n in names))
 
 
-def near_links(fingerprints: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
-    """fingerprints(fp), distinct -> links(a, b) whose components are those of all pairs within two bits."""
+def _points(fp: Column) -> Column:
+    """The 65 points within one bit of a fingerprint."""
+    return F.concat(F.array(fp), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+
+
+def _spread(fingerprints: DataFrame) -> DataFrame:
+    """fingerprints(fp, other longs) -> cell, fp, the others: every row once for each anchor near it."""
+    names = fingerprints.columns
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             for k in range(0, len(fp), 20_000):
-                part = fp[k : k + 20_000]
-                row, anchor = anchors_near(part)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row].view(np.int64))], ["cell", "fp"])
+                row, anchor = anchors_near(fp[k : k + 20_000])
+                part = batch.slice(k, 20_000).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *part.columns], ["cell", *names])
+
+    return fingerprints.mapInArrow(_text.lean(replicate), ", ".join(["cell long", *(f"{n} long" for n in names)]))
+
+
+def near_links(fingerprints: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
+    """fingerprints(fp), distinct -> links(a, b) whose components are those of all pairs within two bits."""
 
-    spread = fingerprints.mapInArrow(_text.lean(replicate), "cell long, fp long")
+    spread = _spread(fingerprints)
     crowded = materialise(spread.groupBy("cell").count().where(F.col("count") > limit).select("cell"))
-    normal = _compare(spread.join(crowded, "cell", "left_anti"))
+    normal = _compare(spread.join(crowded, "cell", "left_anti"), [RADIUS]).toDF("a", "b")
     # Radius 0 around members of crowded anchors: the points are the cells, and a pair within two bits shares one.
     hot = spread.join(crowded, "cell", "left_semi").select("fp").distinct()
-    points = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    met = hot.select(F.explode(points).alias("cell"), "fp")
+    met = hot.select(F.explode(_points(F.col("fp"))).alias("cell"), "fp")
     # Every member of a point is within two bits of every other: the smallest stands for all.
     met = met.groupBy("cell").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     return normal.union(met.select("a", F.explode("members").alias("b")).where("a <> b").distinct())
@@ -307,17 +331,61 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return rows.join(_named(rows).drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """docs with exactly one row of each component, one of those with its smallest doc_id.
+def near_prints(docs: DataFrame, *own: str) -> DataFrame:
+    """doc_id, f0, f1, .. (fingerprints of the words), g (of the five-word shingles), band (of the number of words), and the long columns own of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = [*(f"f{t}" for t in range(TABLES)), "g", "band"]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = _text.string_buffer(batch.column(1))
+            prints = [*fingerprints_of(raw, offsets, 1, TABLES), fingerprints_of(raw, offsets, SHINGLES)]
+            count = np.zeros(batch.num_rows, np.int64)
+            for a, b in _text.slices(offsets):
+                count[a:b] = np.diff(_text.words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[2])
+            band = np.floor(np.log(count + 1) / np.log(BAND)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in prints), pa.array(band), *batch.columns[2:]], ["doc_id", *names, *own])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), *own)
+    return with_package(rows).mapInArrow(_text.lean(compute), ", ".join([f"doc_id {kind}", *(f"{x} long" for x in (*names, *own))]))
+
+
+def copy_links(nodes: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
+    """nodes(f0, .., g, band), distinct -> links(a, b), structs of f0 and g, whose components are those of all near copies.
+
+    A node stands in its own band and the next, so that neighbouring bands meet, and once for each table; its cells are the anchors of that
+    table's fingerprint within a band. A crowded anchor is refined to the points within one bit of the fingerprint.
+    """
+    tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col(f"f{t}").alias("f")) for t in range(TABLES)])
+    each = nodes.select("f0", "g", F.explode(F.array("band", F.col("band") + 1)).alias("band"), tables.alias("tables"))
+    each = each.select("f0", "g", "band", F.explode("tables").alias("one")).select("one.f", "g", "f0", (F.col("band") * TABLES + F.col("one.t")).alias("lane"))
+    spread = _spread(each).select(F.col("cell").bitwiseOR(F.call_function("shiftleft", F.col("lane"), F.lit(46))).alias("cell"), "f", "g", "f0", "lane")
+    crowded = materialise(spread.groupBy("cell").count().where(F.col("count") > limit).select("cell"))
+    radii = [RADIUS, APART, 64]  # f0 comes along as a name
+    normal = _compare(spread.join(crowded, "cell", "left_anti").select("cell", "f", "g", "f0"), radii)
+    hot = spread.join(crowded, "cell", "left_semi").select("f", "g", "f0", "lane").distinct()
+    hot = hot.select(F.explode(_points(F.col("f"))).alias("point"), "f", "g", "f0", "lane").select(F.xxhash64("point", "lane").alias("cell"), "f", "g", "f0")
+    side = lambda x: F.struct(F.col(f"{x}2").alias("f0"), F.col(f"{x}1").alias("g")).alias(x)
+    return normal.unionByName(_compare(hot, radii)).select(side("a"), side("b"))
+
+
+def representatives(docs: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
+    """docs with exactly one row of each group of near copies, one of those with its smallest doc_id (null last).
 
-    Rows are told apart by numbers of their own, so rows of other components under the same or a null doc_id stay.
+    Near copies have word fingerprints within two bits in one table, five-word shingle fingerprints within APART bits (similarity 0.8 or more, as
+    fingerprints tell it) and about the same length; a group is what such links connect. Texts without words are one group. Rows are told apart by
+    names of their own, so rows of other groups under the same or a null doc_id stay.
     """
-    own = "near_dedup_row"
-    docs = numbered(docs, own)
-    rows = materialise(simhash(docs.select("doc_id", "text", own), own))
-    first = rows.join(_named(rows), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = first.groupBy("root").agg(F.min(F.struct("fp", own))[own].alias("stay_row"))
-    return docs.hint("merge").join(stay, docs[own] == stay["stay_row"], "left_semi").drop(own)
+    file, row = "near_dedup_file", "near_dedup_row"
+    docs = named_rows(docs, file, row)
+    rows = materialise(near_prints(docs.select("doc_id", "text", file, row), file, row))
+    # Rows of equal fingerprints are one node, so copies of any number cost one entry.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", file, row)).alias("best")
+    nodes = rows.groupBy(F.struct("f0", "g").alias("node")).agg(best)
+    roots = components(copy_links(rows.drop("doc_id", file, row).distinct(), limit))
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    stay = grouped.select(F.col(f"best.{file}").alias("stay_file"), F.col(f"best.{row}").alias("stay_row"))
+    return docs.hint("merge").join(stay, (docs[file] == stay["stay_file"]) & (docs[row] == stay["stay_row"]), "left_semi").drop(file, row)
 
 
 def op8(spark, sf_dir):
