@@ -5,7 +5,8 @@ occurrence votes with its weight on 128 signed bits. Votes are counted 32 bits a
 counters in a long, by ordinary sums, so the whole count is generated code with map-side combine.
 Block tables find fingerprints within a radius: 128 bits are cut into blocks, each table
 puts another choice of blocks first as its key, and two fingerprints that differ in no more bits than blocks are
-left out agree on one key at least.
+left out agree on one key at least. In the query, fingerprints of every row whose id is divisible by QUERIES ask the tables of all rows:
+members of a key are listed in lists of bounded length, and each asking fingerprint passes over the lists of its keys.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm._common import NOT_SPACE, documents, materialise, root_of, text_or_empty
 
 BITS, RADIUS, BLOCKS = 128, 3, 5
+#: Rows whose id is divisible by this ask for near fingerprints; most fingerprints that one list of a block key holds.
+QUERIES, LISTED = 20, 1024
 #: Ranges of ids at most: their bounds are literals in the plan. A range of more rows is sorted with spilling.
 MOST_RANGES = 4096
 _PAIR = (1 << 32) + 1
@@ -95,6 +99,57 @@ def near_fingerprints(fps: DataFrame, queries: DataFrame, radius: int = RADIUS,
     return met.select(hex_of("q0", "q1").alias("query"), hex_of("p0", "p1").alias("found"), "bits")
 
 
+def near_counts(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, listed: int = LISTED) -> DataFrame:
+    """q0, q1, n_near of each query: rows within radius bits. fps(f0, f1, n): distinct fingerprints and their rows; queries(f0, f1), distinct.
+
+    A pair is counted in the first table in which it agrees, which is the one of its lowest equal blocks, so no pair is made into a row. A
+    key with many members has many lists: a query passes over each of them, none is left out.
+    """
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    keys = lambda: F.posexplode(F.array(*block_keys(F.col("f0"), F.col("f1"), radius, blocks))).alias("t", "k")
+    members = fps.select("f0", "f1", "n", keys())
+    sizes = members.groupBy("t", "k").agg(F.count("*").alias("size"))
+    asked = queries.select("f0", "f1", keys())
+    # Only keys that are asked for by some query and hold more than the query itself are listed.
+    wanted = sizes.where("size > 1").join(asked.select("t", "k").distinct(), ["t", "k"]).select("t", "k", F.ceil(F.col("size") / listed).alias("lists"))
+    some = members.join(wanted, ["t", "k"]).withColumn("list", F.pmod(F.xxhash64("f0", "f1"), F.col("lists")))
+    lists = some.groupBy("t", "k", "list").agg(F.collect_list(F.struct("f0", "f1", "n")).alias("members"))
+    met = asked.join(lists, ["t", "k"])
+
+    def same(block: int, x0: Column, x1: Column) -> Column:
+        bits = (1 << edges[block + 1]) - (1 << edges[block])
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return (x0.bitwiseAND(F.lit(signed(bits & ((1 << 64) - 1)))) == 0) & (x1.bitwiseAND(F.lit(signed(bits >> 64))) == 0)
+
+    def first_table(x0: Column, x1: Column) -> Column:
+        out = F.lit(-1)
+        for t, chosen in reversed(list(enumerate(combinations(range(blocks), blocks - radius)))):
+            agrees = same(chosen[0], x0, x1)
+            for b in chosen[1:]:
+                agrees = agrees & same(b, x0, x1)
+            out = F.when(agrees, t).otherwise(out)
+        return out
+
+    def add(total: Column, m: Column) -> Column:
+        x0, x1 = m["f0"].bitwiseXOR(F.col("f0")), m["f1"].bitwiseXOR(F.col("f1"))
+        bits = F.bit_count(x0) + F.bit_count(x1)
+        near = (bits > 0) & (bits <= radius) & (first_table(x0, x1) == F.col("t"))
+        return total + F.when(near, m["n"]).otherwise(F.lit(0).cast("long"))
+
+    counts = met.select("f0", "f1", F.aggregate("members", F.lit(0).cast("long"), add).alias("near")).groupBy("f0", "f1").agg(F.sum("near").alias("near"))
+    # Its own rows are counted here, since a key of one fingerprint has no list.
+    own = queries.join(fps, ["f0", "f1"])
+    return own.join(counts, ["f0", "f1"], "left").select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), (F.coalesce("near", F.lit(0)) + F.col("n")).alias("n_near"))
+
+
+def order_number(column: Column, kind: T.DataType) -> Column:
+    """A long that never falls where the value rises: numbers themselves, else the first seven bytes of the text."""
+    if isinstance(kind, T.NumericType):
+        return F.floor(column).cast("long") if not isinstance(kind, T.IntegralType) else column.cast("long")
+    head = F.substring(F.encode(column.cast("string"), "utf-8"), 1, 7)
+    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
+
+
 def range_bucket(column: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at or below the value (null: 0), in two steps of about the root of their number."""
     step = root_of(len(bounds))
@@ -113,13 +168,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ids are cut at their quantiles into about as many ranges as a range has rows; texts are dealt once, by range. A
     range's last row takes the first row of the range below, found from ids alone.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    number = order_number(F.col("doc_id"), docs.schema["doc_id"].dataType)
+    rows = docs.select("doc_id", text_or_empty().alias("text"), number.alias("number"))
     n = rows.count()
     ranges = min(root_of(n), MOST_RANGES)
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = (rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * ranges)).alias("q")).first()[0] if shares else None) or []
-    bucket = range_bucket(F.col("doc_id"), sorted(set(cuts)))
-    rows = rows.withColumn("bucket", bucket)
+    cuts = (rows.agg(F.percentile_approx("number", shares, max(10_000, 20 * ranges)).alias("q")).first()[0] if shares else None) or []
+    rows = rows.withColumn("bucket", range_bucket(F.col("number"), sorted(set(cuts)))).drop("number")
     within = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     order = Window.orderBy(F.col("bucket").desc())
     # One row for each range: its largest id, and where the range above it goes on.
@@ -142,9 +197,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, shared_tables of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near of every row.
 
-    shared_tables: how many block tables hold a document and its edited text under one key. A null text is empty; a
+    n_near: other rows whose fingerprint is within RADIUS bits, for rows whose id is divisible by QUERIES; else null. A null text is empty; a
     text without words has the fingerprint of no votes, all zero. Repeated rows are rows of their own. No rows: no
     rows. Columns besides doc_id and text are not read.
     """
@@ -160,11 +215,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     prints = votes.groupBy(*keys[:-1]).agg(pick(0, "f0").alias("f0"), pick(0, "f1").alias("f1"), pick(1, "f0").alias("e0"), pick(1, "f1").alias("e1"))
     prints = materialise(prints)
     ahead = prints.select(F.col("at").alias("next_at"), F.col("f0").alias("n0"), F.col("f1").alias("n1"))
-    own, others = block_keys(F.col("f0"), F.col("f1")), block_keys(F.col("e0"), F.col("e1"))
-    shared = sum((((a == b).cast("int")) for a, b in zip(own, others, strict=True)), F.lit(0))
-    return prints.join(ahead, "next_at").select(
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        asks = F.coalesce(F.col("doc_id") % QUERIES == 0, F.lit(False))
+    else:
+        asks = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(QUERIES)) == 0, F.lit(False))
+    counts = prints.groupBy("f0", "f1").agg(F.count("*").alias("n"), F.max(asks).alias("asks"))
+    counts = materialise(counts)
+    near = near_counts(counts.select("f0", "f1", "n"), counts.where("asks").select("f0", "f1"))
+    out = prints.join(ahead, "next_at").withColumn("asks", asks)
+    # Only rows that ask move to their counts; fingerprints of copies are one row each, so no key is hot on that side.
+    asking = out.where("asks").join(near, (F.col("f0") == F.col("q0")) & (F.col("f1") == F.col("q1"))).drop("q0", "q1")
+    out = asking.unionByName(out.where(~F.col("asks")).withColumn("n_near", F.lit(None).cast("long")))
+    return out.select(
         "doc_id", "n_chars", "edited_sha256", hex_of("f0", "f1").alias("fingerprint"), hex_of("e0", "e1").alias("edited_fingerprint"),
-        likeness(distance("f0", "f1", "e0", "e1")).alias("near_edited"), likeness(distance("f0", "f1", "n0", "n1")).alias("near_next"), shared.alias("shared_tables"),
+        likeness(distance("f0", "f1", "e0", "e1")).alias("near_edited"), likeness(distance("f0", "f1", "n0", "n1")).alias("near_next"), (F.col("n_near") - 1).alias("n_near"),
     )
 
 
