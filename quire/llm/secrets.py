@@ -3,8 +3,8 @@
 Patterns give spans by summing the lengths of what lies between matches. For entropy, a
 candidate is a run of one character class (hexadecimal, or base64 with - and _) of at least one window
 that contains letters and digits; a fold over its characters keeps a count for each
-symbol and the sum of c*log2(c), adding the entering and taking off the leaving character,
-so that each window costs one update. Runs of windows above the class's threshold become a
+symbol, twelve counts packed in a long, and the sum of c*log2(c), adding the entering and taking off the leaving character,
+so that each window costs one update of two counts. Every run of windows above the class's threshold becomes a
 span unless the allow-list knows the string or a pattern's span meets it.
 """
 
@@ -23,22 +23,41 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: (characters of the class, bits that a window must reach). 20 symbols have log2(20) = 4.32 bits at most.
 CLASSES = ((r"A-Fa-f0-9", 3.0), (r"A-Za-z0-9+/_-", 3.75))
-#: Strings that look random but are known: digits only, words with separators, dates and versions, documented sample keys.
-ALLOW = (r"^[0-9_/+-]*$", r"^[A-Za-z]+([-_/+][A-Za-z]+)*$", r"^([A-Za-z]+|[0-9]{1,4})([-_/+]([A-Za-z]+|[0-9]{1,4}))*$", r"EXAMPLE", r"^(.)\1*$", r"^(0123456789|abcdef|ABCDEF)+")
+#: Strings that look random but are known, each as a whole: digits only, words with separators, dates and versions, one character again and
+#: again, alphabets in order, sample keys that say so at their end.
+ALLOW = (r"^[0-9_/+-]*$", r"^[A-Za-z]+([-_/+][A-Za-z]+)*$", r"^([A-Za-z]+|[0-9]{1,4})([-_/+]([A-Za-z]+|[0-9]{1,4}))*$", r"^[A-Za-z0-9/+_-]*EXAMPLE(KEY)?$", r"^(.)\1*$", r"^(0123456789|abcdef|ABCDEF)+$")
+#: The symbols of both classes, and how many counts of at most WINDOW + 1 share a long.
+SYMBOLS, PACKED = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-", 12
+#: Matches of one text that are placed together, so that a text with very many costs little more for each.
+PLACED = 256
 
 
-def _found(text: Column, pattern: str, kind: int, enough: Column | None = None, sizes: Column | None = None) -> Column:
-    """Spans (start, kind, end) of all matches; enough filters them by the length of `sizes` at their place."""
+def _found(text: Column, pattern: str, kind: int) -> Column:
+    """Spans (start, kind, end, match) of all matches."""
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     each = F.zip_with(between, F.concat(matches, F.array(F.lit(""))), lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("size"), b.alias("match")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>").alias("out"))
+    return F.flatten(_let(each, lambda xs: F.transform(_chunks(xs), lambda c: _placed(c["items"], c["at"], kind))))
+
+
+def _chunks(each: Column) -> Column:
+    """array<struct<at, items>>: PLACED items each, and the length of all before them."""
+    number = F.ceil(F.size(each) / PLACED).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(number - 1, F.lit(0))), lambda k: F.slice(each, k * PLACED + 1, F.lit(PLACED)))
+    length = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    begins = lambda ps: F.aggregate(ps, zero, lambda s, p: F.struct((s["at"] + length(p)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    return _let(parts, lambda ps: F.zip_with(begins(ps), ps, lambda at, items: F.struct(at.alias("at"), items.alias("items"))))
+
+
+def _placed(items: Column, at: Column, kind: int) -> Column:
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
 
     def step(state, x):
         start = state["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"), x["match"].alias("match"))
         return F.struct((start + x["size"]).alias("at"), F.when(x["size"] > 0, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(each, zero, step, lambda s: s["out"])
+    return F.aggregate(items, F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"])
 
 
 def _plain(spans: Column) -> Column:
@@ -60,38 +79,51 @@ def base_spans(text: Column) -> list[Column]:
     return [gate(ASSIGN, assign), F.when(F.contains(text, F.lit("AKIA")), access).otherwise(none), gate(r"[0-9a-f]{24,}", hexes)]
 
 
-def hot_range(string: Column, bits: float, window: int = WINDOW) -> Column:
-    """(first, last) of the characters that windows of at least `bits` of Shannon entropy cover; first is null if none does."""
+def hot_runs(string: Column, bits: float, window: int = WINDOW) -> Column:
+    """array<struct<first, last>>: the runs of characters that windows of at least `bits` of Shannon entropy cover."""
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     most = window * (math.log2(window) - bits) + 1e-9  # sum of c*log2(c) must not be above this
-    codes = F.transform(F.split(string, ""), lambda c: F.ascii(c))
-    zero = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(0).alias("i")
-    )
-
-    def change(state_counts, state_sum, code, by):
-        c = F.get(state_counts, code)
-        counts = F.transform(state_counts, lambda x, k: F.when(k == code, x + by).otherwise(x))
-        return counts, state_sum + F.get(table, c + by) - F.get(table, c)
+    width = 60 // PACKED
+    lanes = -(-len(SYMBOLS) // PACKED)
+    number = F.array(*[F.lit(max(SYMBOLS.find(chr(c)), 0)) for c in range(128)])
+    codes = F.transform(F.split(string, ""), lambda c: F.get(number, F.ascii(c)))
+    shift = lambda code: (code % PACKED) * width
+    lane = lambda s, code: _choose([s[f"c{k}"] for k in range(lanes)], F.floor(code / PACKED))
+    count = lambda s, code: F.call_function("shiftright", lane(s, code), shift(code)).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    fields = lambda s, code, by: [(s[f"c{k}"] + F.when(F.floor(code / PACKED) == k, F.call_function("shiftleft", F.lit(1).cast("long"), shift(code)) * by).otherwise(F.lit(0).cast("long"))).alias(f"c{k}") for k in range(lanes)]
+    runs = "array<struct<first:int,last:int>>"
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(lanes)], F.lit(0.0).alias("sum"), F.array().cast(runs).alias("runs"), F.lit(0).alias("i"))
 
     def add(s, code):
-        counts, total = change(s["counts"], s["sum"], code, 1)
-        return F.struct(counts.alias("counts"), total.alias("sum"), s["first"].alias("first"), s["last"].alias("last"), s["i"].alias("i"))
+        c = count(s, code)
+        return F.struct(*fields(s, code, 1), (s["sum"] + F.get(table, c + 1) - F.get(table, c)).alias("sum"), s["runs"].alias("runs"), s["i"].alias("i"))
 
-    def drop_and_test(s, all_codes):
+    def drop(s, all_codes):
         leaving = F.get(all_codes, s["i"] - window)
-        counts, total = change(s["counts"], s["sum"], leaving, -1)
-        full = s["i"] >= window
-        total = F.when(full, total).otherwise(s["sum"])
-        hot = (s["i"] >= window - 1) & (total <= most)
-        return F.struct(
-            F.when(full, counts).otherwise(s["counts"]).alias("counts"), total.alias("sum"),
-            F.when(hot & s["first"].isNull(), s["i"] - window + 1).otherwise(s["first"]).alias("first"), F.when(hot, s["i"]).otherwise(s["last"]).alias("last"), (s["i"] + 1).alias("i"),
-        )
-
-    # The array is bound once by a one-element transform, so it isn't split again for every character.
-    bound = F.transform(F.array(codes), lambda all_codes: F.aggregate(all_codes, zero, lambda s, c: _let(add(s, c), lambda t: drop_and_test(t, all_codes)), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))))
-    return F.get(bound, F.lit(0))
+        c = count(s, leaving)
+        gone = F.struct(*fields(s, leaving, -1), (s["sum"] + F.get(table, c - 1) - F.get(table, c)).alias("sum"), s["runs"].alias("runs"), s["i"].alias("i"))
+        return F.when(s["i"] >= window, gone).otherwise(s)
+
+    def test(s):
+        hot = (s["i"] >= window - 1) & (s["sum"] <= most)
+        last = F.try_element_at(s["runs"], F.lit(-1))
+        begin = s["i"] - window + 1
+        joins = (F.size(s["runs"]) > 0) & (last["last"] >= begin - 1)
+        first = F.when(joins, last["first"]).otherwise(begin)
+        kept = F.when(joins, F.slice(s["runs"], F.lit(1), F.size(s["runs"]) - 1)).otherwise(s["runs"])
+        now = F.concat(kept, F.array(F.struct(first.cast("int").alias("first"), s["i"].alias("last"))))
+        return F.struct(*[s[f"c{k}"].alias(f"c{k}") for k in range(lanes)], s["sum"].alias("sum"), F.when(hot, now).otherwise(s["runs"]).alias("runs"), (s["i"] + 1).alias("i"))
+
+    step = lambda all_codes: lambda s, code: _let(_let(add(s, code), lambda t: drop(t, all_codes)), test)
+    # The array is bound once, so it isn't split again for every character.
+    return _let(codes, lambda all_codes: F.aggregate(all_codes, zero, step(all_codes), lambda s: s["runs"]))
+
+
+def _choose(options: list[Column], which: Column) -> Column:
+    out = options[-1]
+    for k in range(len(options) - 2, -1, -1):
+        out = F.when(which == k, options[k]).otherwise(out)
+    return out
 
 
 def _let(value: Column, body) -> Column:
@@ -105,8 +137,9 @@ def entropy_spans(text: Column, base: Column) -> Column:
         pattern = rf"(?<![{chars}])[{chars}]{{{WINDOW},}}"
         known = lambda m: F.lit(False) if not ALLOW else _any([F.rlike(m, F.lit(p)) for p in ALLOW])
         found = F.filter(_found(text, pattern, 3), lambda x: F.rlike(x["match"], F.lit("[0-9]")) & F.rlike(x["match"], F.lit("[A-Za-z]")) & ~known(x["match"]))
-        hot = F.transform(found, lambda x: _let(hot_range(x["match"], bits), lambda r: F.struct((x["start"] + r["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + r["last"] + 1).alias("end"))))
-        some = F.when(F.rlike(text, F.lit(pattern)), F.filter(hot, lambda x: x["start"].isNotNull())).otherwise(F.array().cast(_NONE))
+        span = lambda x, r: F.struct((x["start"] + r["first"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + r["last"] + 1).alias("end"))
+        hot = F.flatten(F.transform(found, lambda x: F.transform(hot_runs(x["match"], bits), lambda r: span(x, r))))
+        some = F.when(F.rlike(text, F.lit(pattern)), hot).otherwise(F.array().cast(_NONE))
         apart = _apart(some, base)
         spans = apart if spans is None else F.concat(spans, _apart(apart, spans))
     return spans
