@@ -1,38 +1,43 @@
 """Licence scans (native): a trained paragraph classifier, confirmed by templates.
 
-A multinomial logistic regression over sparse word n-grams (one to three words) is trained from short
-licence notices, each varied by losing words, and from sentences that only look alike. A paragraph (a line)
-with licence vocabulary is scored by joining its n-grams with the weight table and summing.
-Probabilities below the calibrated bound make it `unknown`; a predicted family is confirmed when
-enough of one of its templates' word pairs stand in the paragraph. Training sees no corpus rows, so its tables have a fixed size.
+A multinomial logistic regression over sparse word n-grams (one to three words) is trained from
+licence notices, each varied by losing words, and from sentences that only look alike. A paragraph ends at a blank line; it is scored as a
+whole, with its wrapped lines joined, and line by line, since a notice may stand in the middle of prose. Weights are looked up in a hash table that is a
+constant of the plan, so every text is scored where it is read, without a shuffle and without a filter before the classifier.
+Where a licence is likely, its family is confirmed when that takes at least half of the likelihood and enough of one of its templates' word pairs stand there; what cannot be
+confirmed is `unknown`. The least probability is calibrated on look-alikes that the trial model has not seen. Training sees no corpus rows, so its
+tables have a fixed size.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from functools import cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm._common import documents, text_or_empty
 
 WORD = r"[a-z0-9]+(?:[.+'-][a-z0-9]+)*"
-#: A paragraph without any of these has no licence n-gram that could decide for a family.
-GATE = r"(?i)licen[sc]|copyright|all rights reserved|public domain|creative commons|\bcc[ -](by|0)|\bcc0|spdx|gpl|permission is hereby|redistribution|warrant|apache|mozilla public|copyleft"
+BLANK_LINE = r"(?>\r\n?|\n)[\x20\t]*(?>\r\n?|\n)\s*"
 NONE, UNKNOWN = "none", "unknown"
 CONFIRM = 0.6
+#: Slots of the hash tables; entries of one slot are compared in turn.
+SLOTS = 4096
 
 TEMPLATES = {
-    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT", "This project is available under the terms of the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0", "You may obtain a copy of the Apache License at http www.apache.org licenses LICENSE-2.0", "Apache License Version 2.0, January 2004", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPLv3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GPL version 3 license.", "either version 3 of the GNU General Public License, or at your option any later version"],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPLv2.", "SPDX-License-Identifier: GPL-2.0-only", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT", "This project is available under the terms of the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0", "You may obtain a copy of the Apache License at http www.apache.org licenses LICENSE-2.0", "Apache License Version 2.0, January 2004", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPLv3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GPL version 3 license.", "either version 3 of the GNU General Public License, or at your option any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPLv2.", "SPDX-License-Identifier: GPL-2.0-only", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "lgpl": ["Licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-or-later", "This library is free software under the LGPL license.", "under the terms of the GNU Lesser General Public License, version 3"],
     "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "This program is licensed under the AGPLv3.", "under the terms of the GNU Affero General Public License"],
-    "bsd": ["Licensed under the BSD 3-Clause License.", "Released under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 2-Clause License."],
+    "bsd": ["Licensed under the BSD 3-Clause License.", "Released under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 2-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "mpl-2.0": ["Licensed under the Mozilla Public License, Version 2.0.", "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Available under a CC BY-NC-SA 4.0 license."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
@@ -44,7 +49,7 @@ LOOK_ALIKE = [
     "He renewed his driver's license last week.", "A fishing license is required in this county.", "The restaurant lost its liquor licence.", "Poetic license was taken with the story.", "The warranty covers two years of use.",
     "There is no warrant for that claim.", "They were granted a license to operate the mine.", "Apache helicopters flew over the base.", "The Apache people lived here.", "Redistribution of wealth was debated in parliament.",
     "The license fee rises every year.", "License plates must be visible.", "Permission was asked and given.", "Copyright law is discussed in chapter two.", "The court issued a search warrant.", "MIT is a university in Cambridge.", "A version of the song was released in May.",
-    "The general public was invited.", "Mozilla is a company.", "Public domain works can be used by anyone.", "She studied the history of copyright.", "Licensed under terms that were never published.", "Released under a custom license.", "See the license file for details.", "SPDX is a standard.",
+    "The general public was invited.", "Mozilla is a company.", "Public domain works can be used by anyone.", "She studied the history of copyright.", "SPDX is a standard.",
 ]
 
 
@@ -57,49 +62,52 @@ def grams_of(words: list[str]) -> set[str]:
 
 
 def _varied(text: str, rng: random.Random) -> list[str]:
-    """The words with up to a sixth lost and unrelated ones around."""
+    """The words, each lost with a chance of 0.08, and up to eleven unrelated ones around."""
     words = [w for w in words_of(text) if rng.random() > 0.08] or words_of(text)
     filler = [f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(12))]
     cut = rng.randrange(len(filler) + 1)
     return filler[:cut] + words + filler[cut:]
 
 
-@cache
-def trained(rounds: int = 20, steps: int = 250) -> tuple[tuple[str, ...], dict[str, np.ndarray], np.ndarray, float]:
-    """(classes, weights by n-gram, bias, least probability): softmax regression by full gradient steps, L2 penalty."""
-    rng = random.Random(7)
-    classes = (NONE, *TEMPLATES)
-    vocabulary = sorted({g for ts in [*TEMPLATES.values(), LOOK_ALIKE] for t in ts for g in grams_of(words_of(t))})
-    number = {g: i for i, g in enumerate(vocabulary)}
-
-    def matrix(n: int):
-        rows, labels = [], []
-        for c, name in enumerate(classes):
-            for t in LOOK_ALIKE if name == NONE else TEMPLATES[name]:
-                for _ in range(n):
-                    rows.append([number[g] for g in grams_of(_varied(t, rng)) if g in number])
-                    labels.append(c)
-        x = np.zeros((len(rows), len(vocabulary)), np.float32)
-        for i, r in enumerate(rows):
-            x[i, r] = 1
-        return x, np.array(labels)
-
-    x, y = matrix(rounds)
-    goal = np.eye(len(classes), dtype=np.float32)[y]
-    weight = (1 / np.bincount(y))[y][:, None].astype(np.float32)
+def _fitted(texts: dict[str, list[str]], rounds: int, steps: int, rng: random.Random) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Weights by n-gram and bias by class: softmax regression by full gradient steps with an L2 penalty; the first class weighs as much as all others."""
+    number = {g: i for i, g in enumerate(sorted({g for ts in texts.values() for t in ts for g in grams_of(words_of(t))}))}
+    rows, labels = [], []
+    for c, ts in enumerate(texts.values()):
+        for t in ts:
+            for _ in range(rounds):
+                rows.append([number[g] for g in grams_of(_varied(t, rng)) if g in number])
+                labels.append(c)
+    x, y = np.zeros((len(rows), len(number)), np.float32), np.array(labels)
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    goal = np.eye(len(texts), dtype=np.float32)[y]
+    weight = (np.array([len(texts) - 1, *[1] * (len(texts) - 1)]) / np.bincount(y, minlength=len(texts)))[y][:, None].astype(np.float32)
     weight /= weight.sum()
-    w, b = np.zeros((len(vocabulary), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    w, b = np.zeros((len(number), len(texts)), np.float32), np.zeros(len(texts), np.float32)
     for _ in range(steps):
-        p = _softmax(x @ w + b)
-        g = (p - goal) * weight
+        g = (_softmax(x @ w + b) - goal) * weight
         w -= 4.0 * (x.T @ g + 2e-5 * w)
         b -= 4.0 * g.sum(0)
-    xv, yv = matrix(5)
-    p = _softmax(xv @ w + b)
-    right = (p.argmax(1) == yv) & (yv > 0)
-    # Calibrated so that 99 in 100 varied notices keep their family, and never under one half.
-    least = max(0.5, float(np.quantile(p.max(1)[right], 0.01)))
-    return classes, {v: w[i] for v, i in number.items()}, b, least
+    return {v: w[i] for v, i in number.items()}, b
+
+
+def probabilities(text: str, weights: dict[str, np.ndarray], bias: np.ndarray) -> np.ndarray:
+    z = bias + sum((weights[g] for g in grams_of(words_of(text)) if g in weights), np.zeros(len(bias)))
+    return _softmax(z[None])[0]
+
+
+@cache
+def trained(rounds: int = 12, steps: int = 200) -> tuple[tuple[str, ...], dict[str, np.ndarray], np.ndarray, float]:
+    """(classes, weights by n-gram, bias, least probability of a licence).
+
+    A trial model that has not seen every other look-alike sets the bound: nine in ten of those stay under it, and it is never under one half.
+    """
+    texts = {NONE: LOOK_ALIKE, **TEMPLATES}
+    trial, trial_bias = _fitted({**texts, NONE: LOOK_ALIKE[::2]}, rounds // 3, steps // 2, random.Random(7))
+    unseen = [1 - probabilities(t, trial, trial_bias)[0] for t in LOOK_ALIKE[1::2]]
+    weights, bias = _fitted(texts, rounds, steps, random.Random(8))
+    return tuple(texts), weights, bias, max(0.5, float(np.quantile(unseen, 0.9)))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -107,65 +115,116 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _table(df: DataFrame, lines: list[str], fields: list[tuple[str, str]]) -> DataFrame:
-    """A small table from one string literal, made in the JVM."""
-    spark = df.sparkSession
-    parts = F.split(F.col("line"), "\t")
-    rows = spark.range(1).select(F.explode(F.split(F.lit("\n".join(lines)), "\n")).alias("line"))
-    return rows.select(*[F.get(parts, F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _grams(words: Column) -> Column:
-    def run(n: int) -> Column:
-        last = F.size(words) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
+def gram_key(words: list[str]) -> int:
+    """The hash of several words as Spark's xxhash64 makes it: each value's hash is the seed of the next."""
+    seed = 42
+    for w in words:
+        seed = xxhash.xxh64_intdigest(w.encode(), seed=seed)
+    return _signed(seed)
 
-    return F.array_distinct(F.concat(run(1), run(2), run(3)))
 
+def _hash_table(entries: dict[int, list], kind: str) -> Column:
+    """array<array<struct<h, v>>>, a constant: the entries of a slot stand at the slot's place."""
+    slots: list[list] = [[] for _ in range(SLOTS)]
+    for h, v in entries.items():
+        slots[h % SLOTS].append({"h": h, "v": v})
+    return F.from_json(F.lit(json.dumps(slots)), f"array<array<struct<h:bigint,v:array<{kind}>>>>")
 
-def licence_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, paragraph (number), family, score, confirmed: every paragraph that is a notice or looks like one."""
+
+def _hits(keys: Column, table: Column) -> Column:
+    """The values of the keys that are in the table."""
+    look = lambda h: F.filter(F.get(table, F.pmod(h, F.lit(SLOTS)).cast("int")), lambda e: e["h"] == h)
+    return F.transform(F.flatten(F.transform(keys, look)), lambda e: e["v"])
+
+
+def _keys(words: Column, n: int) -> Column:
+    """Hashes of the runs of n words."""
+    last = F.size(words) - n
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+    return F.when(last >= 0, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def judged(unit: Column) -> Column:
+    """struct<family, score, confirmed> of a paragraph or line: family is none, unknown or a licence family."""
     classes, weights, bias, least = trained()
-    text = text_or_empty()
-    rows = docs.select("doc_id", text.alias("text")).where(F.rlike("text", F.lit(GATE)))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", r"[\r\n]+")).alias("paragraph", "body"))
-    rows = rows.where(F.rlike("body", F.lit(GATE))).dropDuplicates(["doc_id", "text_key", "paragraph"])
-    rows = rows.withColumn("words", F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)))
-    keys = ["doc_id", "text_key", "paragraph"]
-    grams = rows.select(*keys, F.explode(_grams(F.col("words"))).alias("gram"))
-    table = _table(docs, ["\t".join([g, *(f"{x:.5g}" for x in w)]) for g, w in weights.items()], [("gram", "string"), *((f"w{i}", "double") for i in range(len(classes)))])
-    scores = grams.join(F.broadcast(table), "gram").groupBy(*keys).agg(*[(F.sum(f"w{i}") + F.lit(float(bias[i]))).alias(f"z{i}") for i in range(len(classes))])
-    top = F.greatest(*[F.col(f"z{i}") for i in range(len(classes))])
-    total = sum((F.exp(F.col(f"z{i}") - top) for i in range(1, len(classes))), F.exp(F.col("z0") - top))
-    name = F.lit(classes[-1])
-    for i in range(len(classes) - 2, -1, -1):
-        name = F.when(F.col(f"z{i}") == top, F.lit(classes[i])).otherwise(name)
-    scores = scores.select(*keys, name.alias("family"), (1 / total).alias("score"))
-    named = [(f"{k}{i}", k, sorted({g for g in grams_of(words_of(t)) if g.count(" ") == 1})) for k, ts in TEMPLATES.items() for i, t in enumerate(ts)]
-    templates = _table(docs, [f"{g}\t{t}\t{k}\t{len(gs)}" for t, k, gs in named for g in gs], [("gram", "string"), ("template", "string"), ("family", "string"), ("pairs", "int")])
-    shares = grams.join(F.broadcast(templates), "gram").groupBy(*keys, "family", "template", "pairs").agg(F.count("*").alias("n"))
-    shares = shares.groupBy(*keys, "family").agg(F.max(F.col("n") / F.col("pairs")).alias("share"))
-    same = [scores[k].eqNullSafe(shares[k]) for k in keys] + [scores["family"] == shares["family"]]
-    found = scores.join(shares, same, "left").select(*[scores[k] for k in keys], scores["family"], "score", F.coalesce("share", F.lit(0.0)).alias("share"))
-    sure = (F.col("score") >= least) & (F.col("share") >= CONFIRM)
-    return found.select(*keys, F.when(F.col("family") == NONE, NONE).when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "score", (sure & (F.col("family") != NONE)).alias("confirmed"))
+    weight_of = _hash_table({gram_key(g.split()): [round(float(x), 5) for x in w] for g, w in weights.items()}, "double")
+    templates = [(k, sorted({g for g in grams_of(words_of(t)) if g.count(" ") == 1})) for k, ts in TEMPLATES.items() for t in ts]
+    having: dict[int, list[int]] = {}
+    for i, (_, gs) in enumerate(templates):
+        for g in gs:
+            having.setdefault(gram_key(g.split()), []).append(i)
+    template_of = _hash_table(having, "int")
+    words = F.regexp_extract_all(F.lower(unit), F.lit(WORD), F.lit(0))
+    start = F.array(*[F.lit(float(x)) for x in bias])
+    names, family_of, pairs_of = F.array(*map(F.lit, classes)), F.array(*[F.lit(k) for k, _ in templates]), F.array(*[F.lit(len(gs)) for _, gs in templates])
+    most = lambda values: F.array_max(values)
+
+    def share(ws: Column, family: Column) -> Column:
+        held = F.flatten(_hits(F.array_distinct(_keys(ws, 2)), template_of))
+        of = lambda i: F.when(F.get(family_of, i) == family, F.size(F.filter(held, lambda t: t == i)) / F.get(pairs_of, i)).otherwise(0.0)
+        return most(F.transform(F.sequence(F.lit(0), F.lit(len(templates) - 1)), of))
+
+    def verdict(ws: Column, z: Column) -> Column:
+        top = most(z)
+        total = F.aggregate(z, F.lit(0.0), lambda n, x: n + F.exp(x - top))
+        best = (F.array_position(z, top) - 1).cast("int")
+        likely = 1 - F.exp(F.get(z, F.lit(0)) - top) / total
+        family = F.get(names, best)
+        none = F.struct(F.lit(NONE).alias("family"), (1 / total).alias("score"), F.lit(False).alias("confirmed"))
+        sure = (1 / total >= 0.5 * likely) & (share(ws, family) >= CONFIRM)
+        found = F.struct(F.when(sure, family).otherwise(UNKNOWN).alias("family"), (1 / total).alias("score"), sure.alias("confirmed"))
+        return F.when((best > 0) & (likely >= least), found).otherwise(none)
+
+    def scored(ws: Column) -> Column:
+        grams = F.array_distinct(F.concat(_keys(ws, 1), _keys(ws, 2), _keys(ws, 3)))
+        z = F.aggregate(_hits(grams, weight_of), start, lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))
+        return _let(z, lambda z: verdict(ws, z))
+
+    return _let(words, scored)
+
+
+def licence_paragraphs(docs: DataFrame) -> DataFrame:
+    """docs with notices: array<struct<paragraph, family, score, confirmed>> of its paragraphs that are a notice or look like one.
+
+    A paragraph has an entry for each family that it or one of its lines confirms, best score first; else one entry `unknown` if it or a line is
+    likely a licence.
+    """
+    def notices(body: Column, number: Column) -> Column:
+        lines = F.filter(F.split(body, r"[\r\n]+"), lambda x: x != "")
+        units = F.when(F.size(lines) > 1, F.concat(F.array(body), lines)).otherwise(F.array(body))
+        return _let(F.filter(F.transform(units, judged), lambda v: v["family"] != NONE), lambda found: chosen(found, number))
+
+    def chosen(found: Column, number: Column) -> Column:
+        sure = F.filter(found, lambda v: v["confirmed"])
+        best = F.array_sort(F.transform(F.when(F.size(sure) > 0, sure).otherwise(found), lambda v: F.struct((-v["score"]).alias("less"), v["family"].alias("family"), v["confirmed"].alias("confirmed"))))
+        one = F.transform(F.array_distinct(F.transform(best, lambda v: v["family"])), lambda f: F.filter(best, lambda v: v["family"] == f)[0])
+        return F.transform(one, lambda v: F.struct(number.alias("paragraph"), v["family"].alias("family"), (-v["less"]).alias("score"), v["confirmed"].alias("confirmed")))
+
+    found = F.flatten(F.transform(F.split(text_or_empty(), BLANK_LINE), notices))
+    return docs.withColumn("notices", found)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_licence, n_unknown, families, score of every row.
 
-    families: the confirmed families in order, comma-joined; score: the best confirmed probability (0 without one);
-    n_unknown: paragraphs that resemble a notice of no known family. A null or empty text has none. Repeated rows give repeated
-    results. Columns besides doc_id and text are not read.
+    n_licence: paragraphs and families confirmed in them; families: the confirmed families in order, comma-joined; score: the best confirmed
+    probability (0 without one); n_unknown: paragraphs that are likely licences of no known family. A null or empty text has none. Rows stay where they
+    are, repeated rows give repeated results. Columns besides doc_id and text are not read.
     """
-    found = licence_paragraphs(docs).where(F.col("family") != NONE)
-    sums = found.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(
-        F.sum(F.col("confirmed").cast("long")).alias("n_licence"), F.sum((~F.col("confirmed")).cast("long")).alias("n_unknown"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.max(F.when(F.col("confirmed"), F.col("score"))).alias("score"),
-    )
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_key"))
-    return rows.join(sums, rows["doc_id"].eqNullSafe(sums["d"]) & (rows["text_key"] == sums["t"]), "left").select(
-        "doc_id", F.coalesce("n_licence", F.lit(0)).cast("long").alias("n_licence"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("score", F.lit(0.0)).alias("score")
+    rows = licence_paragraphs(docs.select("doc_id", "text"))
+    sure = F.filter("notices", lambda v: v["confirmed"])
+    return rows.select(
+        "doc_id", F.size(sure).cast("long").alias("n_licence"), (F.size("notices") - F.size(sure)).cast("long").alias("n_unknown"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda v: v["family"]))), ",").alias("families"), F.coalesce(F.array_max(F.transform(sure, lambda v: v["score"])), F.lit(0.0)).alias("score"),
     )
 
 

@@ -210,18 +210,62 @@ def test_licences(frame):
     assert out[len(cases)]["families"] == "" and out[len(cases) + 1]["families"] == "mit"
 
 
-def test_licence_scores_equal_a_direct_product(frame):
+def brute_licences(text):
+    """(n_licence, n_unknown, families) by the model's weights in Python."""
     classes, weights, bias, least = licenses.trained()
-    texts = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.LOOK_ALIKE
-    rows = rows_of(texts)
-    found = {(r["doc_id"], r["paragraph"]): r for r in licenses.licence_paragraphs(frame(rows)).collect()}
-    for (doc, _), r in found.items():
-        grams = licenses.grams_of(licenses.words_of(texts[doc]))
-        z = bias + sum((weights[g] for g in grams if g in weights), np.zeros(len(classes)))
-        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        assert abs(p.max() - r["score"]) < 2e-3
-        if r["confirmed"]:
-            assert r["family"] == classes[int(p.argmax())] and r["score"] >= least
+    n_sure = n_unknown = 0
+    families, best = set(), 0.0
+    for body in re.split(licenses.BLANK_LINE, text or ""):
+        lines = [x for x in re.split(r"[\r\n]+", body) if x]
+        found = []
+        for unit in [body, *lines] if len(lines) > 1 else [body]:
+            p = licenses.probabilities(unit, weights, bias)
+            k = int(p.argmax())
+            if k and 1 - p[0] >= least:
+                pairs = {g for g in licenses.grams_of(licenses.words_of(unit)) if g.count(" ") == 1}
+                own = [{g for g in licenses.grams_of(licenses.words_of(t)) if g.count(" ") == 1} for t in licenses.TEMPLATES[classes[k]]]
+                sure = p[k] >= 0.5 * (1 - p[0]) and max(len(pairs & o) / len(o) for o in own) >= licenses.CONFIRM
+                found.append((sure, classes[k], p[k]))
+        if any(x[0] for x in found):
+            names = {x[1] for x in found if x[0]}
+            families |= names
+            n_sure += len(names)
+            best = max(best, *(x[2] for x in found if x[0]))
+        elif found:
+            n_unknown += 1
+    return n_sure, n_unknown, ",".join(sorted(families)), best
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+}
+
+
+def test_wrapped_notices_are_found(frame):
+    texts = [f"Some words before.\n\n{t}\n\nAnd some after." for t in WRAPPED.values()] + list(WRAPPED.values()) + ["\r\n".join(t.split("\n")) for t in WRAPPED.values()]
+    out = {r["doc_id"]: r["families"] for r in licenses.scan_licenses(frame(rows_of(texts))).collect()}
+    assert [out[i] for i in range(len(texts))] == 3 * list(WRAPPED)
+
+
+def test_notices_of_no_known_family_are_unknown(frame):
+    texts = ["Licensed under terms that were never published.", "Released under a custom license.", "Licensed under the Frob Public License, version 7."]
+    out = licenses.scan_licenses(frame(rows_of(texts))).collect()
+    assert [(r["n_licence"], r["n_unknown"]) for r in out] == [(0, 1)] * 3
+
+
+def test_licences_equal_brute_force(spark, sf, frame, awkward_rows):
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.LOOK_ALIKE + ["two notices\nReleased under the MIT License.\nLicensed under CC BY 4.0.\n\n \n\nLicensed under the GPLv3. \n\n\nLicensed under the Frob License."]
+    rows = awkward_rows + rows_of(texts, first=1000)
+    want = Counter((r[0], *brute_licences(r[1])[:3]) for r in rows)
+    out = licenses.scan_licenses(frame(rows, clash=True)).collect()
+    assert Counter((r["doc_id"], r["n_licence"], r["n_unknown"], r["families"]) for r in out) == want
+    docs = {r["doc_id"]: brute_licences(r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in licenses.op7(spark, sf).collect():
+        assert (r["n_licence"], r["n_unknown"], r["families"]) == docs[r["doc_id"]][:3] and abs(r["score"] - docs[r["doc_id"]][3]) < 1e-3
+    assert sum(x[0] > 0 for x in docs.values()) > 3 and sum(x[1] > 0 for x in docs.values()) < 0.05 * len(docs)
 
 
 # -- pipeline ---------------------------------------------------------------------------------
@@ -242,11 +286,13 @@ def test_pipeline_stages(spark, sf):
     assert set(ids["language"]) <= set(kept["input"]) and len(ids["language"]) > 0.95 * len(kept["input"])
     bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     assert len(ids["exact_dedup"]) == len({bare(r["text"]) for r in kept["language"]}) == len({bare(r["text"]) for r in kept["exact_dedup"]})
-    from tests.llm.test_text_ops import brute_components, brute_simhash
+    from tests.llm.test_dedup_rows import brute_groups
 
-    rows = [tuple(r) for r in kept["exact_dedup"]]
-    comps = brute_components(rows, [brute_simhash(r["text"]) for r in kept["exact_dedup"]])
-    assert sorted(ids["near_dedup"]) == sorted(set(comps))
+    comps = brute_groups([r["text"] for r in kept["exact_dedup"]])
+    least = {}
+    for c, r in zip(comps, kept["exact_dedup"], strict=True):
+        least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
+    assert sorted(ids["near_dedup"]) == sorted(least.values())
     n = lambda t: len(WORDS.findall(t or ""))
     sizes, took = Counter(), Counter()
     for r in kept["near_dedup"]:
