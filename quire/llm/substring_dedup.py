@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import _text
-from quire.llm._common import documents, with_package
+from quire.llm._common import documents, join_top, with_package
 
 WINDOW, GRAM = 35, 8
 #: Pieces of one minimizer above which its windows are counted instead of indexed; bytes of text in one index.
@@ -31,26 +31,40 @@ CROWD, SHARD_BYTES = 4096, 3 << 20
 ALL = -1
 
 
+class BitVector:
+    """A succinct bit vector: 64 bits to a word and one running count for each word, so a bit takes a bit and a half."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)]).view(np.uint64)
+        self.before = np.zeros(len(self.words), np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & below)
+
+
 class WaveletMatrix:
-    """Rank over a sequence of small integers: one bit vector with running counts for each bit of the alphabet."""
+    """Rank over a sequence of small integers: one succinct bit vector for each bit of the alphabet."""
 
     def __init__(self, values: np.ndarray, bits: int) -> None:
-        self.bits, self.zeros, self.ones_before = bits, [], []
+        self.bits, self.zeros, self.ones = bits, [], []
         for b in range(bits - 1, -1, -1):
             bit = values >> b & 1
-            counts = np.zeros(len(values) + 1, np.int32)
-            np.cumsum(bit, out=counts[1:])
-            self.ones_before.append(counts)
-            self.zeros.append(len(values) - int(counts[-1]))
+            self.ones.append(BitVector(bit))
+            self.zeros.append(len(values) - int(bit.sum()))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
 
     def rank(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences of each symbol before lo and before hi: returned as ends of a range, and the range's origin."""
         origin = np.zeros(len(symbols), np.int64)
         for level, b in enumerate(range(self.bits - 1, -1, -1)):
-            ones, zero = self.ones_before[level], self.zeros[level]
+            ones, zero = self.ones[level], self.zeros[level]
             one = (symbols >> b & 1).astype(bool)
-            lo1, hi1, or1 = ones[lo], ones[hi], ones[origin]
+            lo1, hi1, or1 = (ones.rank(x).astype(np.int64) for x in (lo, hi, origin))
             lo, hi, origin = np.where(one, zero + lo1, lo - lo1), np.where(one, zero + hi1, hi - hi1), np.where(one, zero + or1, origin - or1)
         return lo - origin, hi - origin, origin
 
@@ -282,8 +296,8 @@ def _counted(pieces: DataFrame, window: int) -> DataFrame:
     named = pieces.withColumns({"p1": F.xxhash64("piece"), "p2": F.xxhash64("piece", F.lit(1))})
     distinct = named.groupBy("piece", "p1", "p2").agg(F.sum("copies").alias("copies"))
     each = distinct.mapInArrow(_text.lean(windows), "p1 long, p2 long, copies long, ats array<long>, h1 long, h2 long")
-    often = each.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).where("c > 1").select("h1", "h2")
-    hits = each.join(often, ["h1", "h2"], "left_semi").groupBy("p1", "p2").agg(F.array_sort(F.flatten(F.collect_list("ats"))).alias("ats"))
+    often = each.groupBy("h1", "h2").agg(F.sum("copies").alias("c")).where("c > 1")
+    hits = join_top(each, often, ["h1", "h2"], "c").groupBy("p1", "p2").agg(F.array_sort(F.flatten(F.collect_list("ats"))).alias("ats"))
     none = F.array().cast("array<struct<at:bigint,n:bigint>>")
 
     def extend(runs, at):
@@ -310,7 +324,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     named = plain.select(own.alias("doc"), "doc_id", "text")
     runs = occurrences(named.select("doc", "text"), window, gram)
     often = runs.groupBy("m").agg(F.sum("places").alias("c")).where("c > 1")
-    marked = runs.join(often, "m").select("doc", F.struct("m", "first", "n", (F.col("c") > crowd).alias("crowded")).alias("run"))
+    marked = join_top(runs, often, ["m"], "c").select("doc", F.struct("m", "first", "n", (F.col("c") > crowd).alias("crowded")).alias("run"))
     marked = marked.groupBy("doc").agg(F.collect_set("run").alias("runs"))
     # Always the same three columns, so that the texts are dealt once and that exchange is used again.
     met = named.join(marked, "doc").select("doc", "doc_id", "text", "runs", F.lit(1).cast("long").alias("copies"))

@@ -133,6 +133,10 @@ def test_fingerprints(frame, awkward_rows):
         edited = text[: len(text) - third] + ahead[:third]
         want[(r[0], len(text), sha(edited), print_of(text), print_of(edited))] += 1
     assert Counter(tuple(r)[:5] for r in found) == want
+    bits = [int(r["fingerprint"], 16) for r in found]
+    for r, x in zip(found, bits, strict=True):
+        near = sum((x ^ y).bit_count() <= 3 for y in bits) - 1
+        assert r["n_near"] == (near if r["doc_id"] is not None and r["doc_id"] % 20 == 0 else None)
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found)
 
 
@@ -160,6 +164,23 @@ def test_block_tables_find_every_near_fingerprint(spark):
     name = lambda x: "%016x%016x" % (x & (2**64 - 1), x >> 64)
     want = {(name(a), name(b), (a ^ b).bit_count()) for a in base for b in all_fps if (a ^ b).bit_count() <= 3}
     assert {tuple(r) for r in fingerprints.near_fingerprints(fps, q).collect()} == want
+    times = {x: 1 + i % 3 for i, x in enumerate(sorted(all_fps))}
+    counted = spark.createDataFrame([(*halves(x), n) for x, n in times.items()], "f0 long, f1 long, n long")
+    totals = {(halves(a)): sum(times[b] for b in all_fps if (a ^ b).bit_count() <= 3) for a in base}
+    for listed in (2, 1024):
+        assert {(r["q0"], r["q1"]): r["n_near"] for r in fingerprints.near_counts(counted, q, listed=listed).collect()} == totals
+
+
+def test_fingerprints_of_text_ids(spark):
+    rows = [(f"id{i // 2:03d}", f"some words of row {i}") for i in range(50)] + [(None, "no id"), ("", "empty id")]
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()
+    order = sorted(rows, key=lambda r: r[1])
+    order = sorted([r for r in order if r[0] is not None], key=lambda r: r[0], reverse=True) + [r for r in order if r[0] is None]
+    want = Counter()
+    for i, r in enumerate(order):
+        third = len(r[1]) // 3
+        want[r[0], sha(r[1][: len(r[1]) - third] + order[(i + 1) % len(order)][1][:third])] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in found) == want
 
 
 # -- op4 --------------------------------------------------------------------------------------
@@ -178,17 +199,35 @@ def entropy(s):
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
 
+def known(s):
+    """Strings of the allow-list, by rules of its own."""
+    parts = re.split("[-_/+]", s)
+    if not re.search("[A-Za-z]", s) or len(set(s)) == 1 or s.endswith(("EXAMPLE", "EXAMPLEKEY")):
+        return True
+    if all(p.isalpha() or p.isdigit() and len(p) < 5 for p in parts):
+        return True
+    rest = s
+    while rest.startswith(("0123456789", "abcdef", "ABCDEF")):
+        rest = rest[10 if rest[0] == "0" else 6 :]
+    return not rest
+
+
 def brute_entropy(text, base):
     out = []
     for chars, bits in secrets.CLASSES:
         own = []
         for m in re.finditer(rf"[{chars}]+", text):
             s = m[0]
-            if len(s) < 20 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(re.search(p, s) for p in secrets.ALLOW):
+            if len(s) < 20 or not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or known(s):
                 continue
-            hot = [i for i in range(len(s) - 19) if entropy(s[i : i + 20]) >= bits - 1e-9]
-            if hot:
-                own.append((m.start() + hot[0], 3, m.start() + hot[-1] + 20))
+            runs = []
+            for i in range(len(s) - 19):
+                if entropy(s[i : i + 20]) >= bits - 1e-9:
+                    if runs and runs[-1][1] >= i - 1:
+                        runs[-1][1] = i + 19
+                    else:
+                        runs.append([i, i + 19])
+            own += [(m.start() + a, 3, m.start() + b + 1) for a, b in runs]
         apart = lambda xs, others: [x for x in xs if not any(b[0] < x[2] and x[0] < b[2] for b in others)]
         out += apart(apart(own, base), out)
     return out
@@ -206,7 +245,7 @@ def secret_rows():
         None, "", "password: hunter", "password=hunter2", 'PassWord" : "abc123def', "𝒳𝒳 token= a.b/c=d-e_f token:short", "api_key=123456apikey:abcdefg", "AKIA" + "A" * 15, "AKIAAKIA" + "Q1" * 10,
         "AKIA" + rand(16, "ABCDEFGH01234567"), "é" * 5 + rand(24, "0123456789abcdef"), rand(23, "0123456789abcdef"), "secret secret=secret=secretsecret", "paſſword=abcdefgh", "toKen=abcdefgh",
         "see " + rand(40) + " and " + rand(30, "0123456789ABCDEF") + ".", "1234567890" * 4, "some-long-path/with_words/and-more", "aaaaaaaaaaaaaaaaaaaaaaaa1", "x" * 5000 + rand(64) + "y" * 5000,
-        "2024-01-01-2025-02-02-rest-of-name", "abcdef0123456789" * 3, rand(20), rand(19), "EXAMPLE" + rand(30), "\n".join(f"token = {rand(12)}" for _ in range(300)),
+        "2024-01-01-2025-02-02-rest-of-name", "abcdef0123456789" * 3, rand(20), rand(19), "EXAMPLE" + rand(30), rand(30) + "EXAMPLE", "x abcdef9Kq3ZpLw81TnVbR7yUeX2 y", "x " + rand(24) + "a" * 50 + rand(24) + " y", "\n".join(f"token = {rand(12)}" for _ in range(300)),
         "password:   'x'  password==''abcdefgh", "key AKIA" + rand(20, "ABCDEF0123456789") + rand(30, "0123456789abcdef"),
     ]
     return rows_of(texts) + rows_of(texts[2:4], first=2)
@@ -318,20 +357,40 @@ def test_exact_dedup(frame, awkward_rows):
         groups[SPACE.sub("", r[1] or "")].append(r)
     want = Counter()
     for norm, rows in groups.items():
-        best = min(rows, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0))
-        for r in rows:
-            want[(r[0], best[0], len(rows), r[0] == best[0], sha(norm))] += 1
+        rows.sort(key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0))
+        for i, r in enumerate(rows):
+            want[(r[0], rows[0][0], len(rows), i == 0, sha(norm))] += 1
     assert got(exact_dedup.exact_dedup(frame(awkward_rows, clash=True))) == want
 
 
-def test_directory_covers_every_key_once(spark):
-    entries = spark.range(5000).selectExpr("xxhash64(id) as key").unionByName(spark.range(300).selectExpr("id as key"))
-    buckets = exact_dedup.directory(entries, capacity=64, max_depth=12).collect()
-    keys = [r["key"] % 2**64 for r in entries.collect()]
-    for b in buckets:
-        inside = sum(k >> (64 - b["depth"]) == b["prefix"] if b["depth"] else True for k in keys)
-        assert inside == b["n"] and (b["n"] <= 64 or b["depth"] == 12)
-    assert sum(b["n"] for b in buckets) == len(keys)
+@pytest.mark.parametrize("capacity", [1, 40])
+def test_index_splits_until_every_bucket_fits(spark, capacity):
+    # Small integers as keys share their first fifty bits: the directory has to double far beyond its first size.
+    n = 5000 if capacity > 1 else 200
+    rows = spark.range(n).selectExpr("xxhash64(id) as key").unionByName(spark.range(300).selectExpr("id as key")).unionByName(spark.range(50).selectExpr("id as key"))
+    index = exact_dedup.build_index(rows, capacity).collect()
+    keys = Counter(r["key"] for r in rows.collect())
+    assert {r["key"]: r["n"] for r in index} == keys and len(index) == len(keys)
+    buckets = defaultdict(set)
+    for r in index:
+        assert (r["key"] % 2**64) >> (64 - r["depth"]) == r["prefix"] % 2**64 if r["depth"] else r["prefix"] == 0
+        buckets[r["depth"], r["prefix"]].add(r["key"])
+    assert max(map(len, buckets.values())) <= capacity and max(r["depth"] for r in index) > 50
+    # A bucket is no deeper than it has to be: its parent was overfull, or it is as deep as the directory began.
+    first = min(r["depth"] for r in index)
+    for depth, prefix in buckets:
+        inside = sum((k % 2**64) >> (65 - depth) == (prefix % 2**64) >> 1 for k in keys)
+        assert depth == first or inside > capacity
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 4096])
+def test_exact_dedup_keeps_one_row_of_each_text(frame, awkward_rows, capacity):
+    rows = awkward_rows + [(1, "hello world", "en", "a", 1), (2, "hello world", "en", "a", 1), (2, "unique other text", "en", "a", 1), (5, "same row", "en", "a", 1), (5, "same row", "en", "a", 1)]
+    out = exact_dedup.exact_dedup(frame(rows), capacity).collect()
+    assert Counter(r["text_sha256"] for r in out if r["kept"]) == Counter({sha(SPACE.sub("", r[1] or "")) for r in rows})
+    for r in out:
+        if r["kept"]:
+            assert r["doc_id"] == r["keep_id"]
 
 
 def test_kept_documents_keep_one_of_each(frame, awkward_rows):
