@@ -99,22 +99,21 @@ def near_fingerprints(fps: DataFrame, queries: DataFrame, radius: int = RADIUS,
     return met.select(hex_of("q0", "q1").alias("query"), hex_of("p0", "p1").alias("found"), "bits")
 
 
-def near_counts(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, listed: int = LISTED) -> DataFrame:
-    """q0, q1, n_near of each query: rows within radius bits. fps(f0, f1, n): distinct fingerprints and their rows; queries(f0, f1), distinct.
+def near_counts(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, listed: int = LISTED) -> DataFrame:
+    """q0, q1, n_near of each asking fingerprint: rows within radius bits. fps(f0, f1, n, asks): distinct fingerprints, their rows, and whether they ask.
 
     A pair is counted in the first table in which it agrees, which is the one of its lowest equal blocks, so no pair is made into a row. A
-    key with many members has many lists: a query passes over each of them, none is left out.
+    key with many members has many lists: an asking fingerprint passes over each of them, none is left out.
     """
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    keys = lambda: F.posexplode(F.array(*block_keys(F.col("f0"), F.col("f1"), radius, blocks))).alias("t", "k")
-    members = fps.select("f0", "f1", "n", keys())
-    sizes = members.groupBy("t", "k").agg(F.count("*").alias("size"))
-    asked = queries.select("f0", "f1", keys())
-    # Only keys that are asked for by some query and hold more than the query itself are listed.
-    wanted = sizes.where("size > 1").join(asked.select("t", "k").distinct(), ["t", "k"]).select("t", "k", F.ceil(F.col("size") / listed).alias("lists"))
-    some = members.join(wanted, ["t", "k"]).withColumn("list", F.pmod(F.xxhash64("f0", "f1"), F.col("lists")))
-    lists = some.groupBy("t", "k", "list").agg(F.collect_list(F.struct("f0", "f1", "n")).alias("members"))
-    met = asked.join(lists, ["t", "k"])
+    keys = F.posexplode(F.array(*block_keys(F.col("f0"), F.col("f1"), radius, blocks))).alias("t", "k")
+    members = fps.select("f0", "f1", "n", "asks", keys)
+    # One exchange deals the members of a key; only keys of two fingerprints or more of which one asks go on.
+    one = Window.partitionBy("t", "k")
+    members = members.withColumns({"size": F.count("*").over(one), "asked": F.max("asks").over(one)}).where((F.col("size") > 1) & F.col("asked"))
+    lists = members.withColumn("list", F.pmod(F.xxhash64("f0", "f1"), F.ceil(F.col("size") / listed)))
+    lists = lists.groupBy("t", "k", "list").agg(F.collect_list(F.struct("f0", "f1", "n")).alias("members"))
+    met = members.where("asks").select("t", "k", "f0", "f1").join(lists, ["t", "k"])
 
     def same(block: int, x0: Column, x1: Column) -> Column:
         bits = (1 << edges[block + 1]) - (1 << edges[block])
@@ -138,7 +137,7 @@ def near_counts(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks
 
     counts = met.select("f0", "f1", F.aggregate("members", F.lit(0).cast("long"), add).alias("near")).groupBy("f0", "f1").agg(F.sum("near").alias("near"))
     # Its own rows are counted here, since a key of one fingerprint has no list.
-    own = queries.join(fps, ["f0", "f1"])
+    own = fps.where("asks").select("f0", "f1", "n")
     return own.join(counts, ["f0", "f1"], "left").select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), (F.coalesce("near", F.lit(0)) + F.col("n")).alias("n_near"))
 
 
@@ -221,7 +220,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         asks = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(QUERIES)) == 0, F.lit(False))
     counts = prints.groupBy("f0", "f1").agg(F.count("*").alias("n"), F.max(asks).alias("asks"))
     counts = materialise(counts)
-    near = near_counts(counts.select("f0", "f1", "n"), counts.where("asks").select("f0", "f1"))
+    near = near_counts(counts)
     out = prints.join(ahead, "next_at").withColumn("asks", asks)
     # Only rows that ask move to their counts; fingerprints of copies are one row each, so no key is hot on that side.
     asking = out.where("asks").join(near, (F.col("f0") == F.col("q0")) & (F.col("f1") == F.col("q1"))).drop("q0", "q1")

@@ -165,10 +165,10 @@ def test_block_tables_find_every_near_fingerprint(spark):
     want = {(name(a), name(b), (a ^ b).bit_count()) for a in base for b in all_fps if (a ^ b).bit_count() <= 3}
     assert {tuple(r) for r in fingerprints.near_fingerprints(fps, q).collect()} == want
     times = {x: 1 + i % 3 for i, x in enumerate(sorted(all_fps))}
-    counted = spark.createDataFrame([(*halves(x), n) for x, n in times.items()], "f0 long, f1 long, n long")
+    counted = spark.createDataFrame([(*halves(x), n, x in base) for x, n in times.items()], "f0 long, f1 long, n long, asks boolean")
     totals = {(halves(a)): sum(times[b] for b in all_fps if (a ^ b).bit_count() <= 3) for a in base}
     for listed in (2, 1024):
-        assert {(r["q0"], r["q1"]): r["n_near"] for r in fingerprints.near_counts(counted, q, listed=listed).collect()} == totals
+        assert {(r["q0"], r["q1"]): r["n_near"] for r in fingerprints.near_counts(counted, listed=listed).collect()} == totals
 
 
 def test_fingerprints_of_text_ids(spark):
