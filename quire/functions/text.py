@@ -166,29 +166,6 @@ def image_name(kind: Column, page_md5: Column, page: Column, box: Column) -> Col
     return F.concat(F.sha2(F.concat(kind, F.lit("/"), page_md5, F.lit("_"), place), 256), F.lit(".jpg"))
 
 
-# -- LaTeX repair -----------------------------------------------------------------------------
-
-# Environments that may lack an end or a beginning.
-ENVIRONMENTS = ("matrix", "pmatrix", "bmatrix", "vmatrix", "Bmatrix", "Vmatrix", "cases", "aligned", "gathered", "align", "align*", "array")
-
-
-def balance_environments(text: Column) -> Column:
-    r"""Adds the \begin or \end that an environment lacks. All counts are taken on the text as given."""
-    before, after = [], []
-    for name in ENVIRONMENTS:
-        shown = name.replace("*", r"\*")
-        lacking = F.regexp_count(text, F.lit(rf"\\begin\{{{shown}\}}")) - F.regexp_count(text, F.lit(rf"\\end\{{{shown}\}}"))
-        opening = rf"\begin{{{name}}}" + ("{c}" if name == "array" else "") + " "
-        after.append(F.repeat(F.lit(rf" \end{{{name}}}"), F.greatest(lacking, F.lit(0))))
-        before.insert(0, F.repeat(F.lit(opening), F.greatest(-lacking, F.lit(0))))
-    return F.concat(*before, text, *after)
-
-
-def plain_greek(text: Column) -> Column:
-    r"""\upX as \X, but for arrows and the like."""
-    return F.regexp_replace(text, r"\\up(?!arrow|downarrow|lus|silon|uparrows|harpoonleft|harpoonright)([a-zA-Z]+)", r"\\$1")
-
-
 # -- places -----------------------------------------------------------------------------------
 
 

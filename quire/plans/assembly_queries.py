@@ -62,19 +62,19 @@ def toc_anchors(spark, sf_dir):
 
 
 @query(
-    """WITH i AS (SELECT conv_id, turn, CAST(length(text) % 3 AS BIGINT) AS level, length(text) % 2 = 0 AS ordered, left(text, 8) AS text FROM conversations),
+    """WITH i AS (SELECT conv_id, turn, CAST(length(text) % 3 AS BIGINT) AS level, length(text) % 2 = 0 AS ordered, text FROM conversations),
 o AS (SELECT *, CASE level WHEN 0 THEN 0 WHEN 1 THEN sum(CASE WHEN level < 1 THEN 1 ELSE 0 END) OVER w ELSE sum(CASE WHEN level < 2 THEN 1 ELSE 0 END) OVER w END AS parent FROM i WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, level, parent ORDER BY turn) AS k FROM o)
 SELECT conv_id, turn, repeat('    ', level) || CASE WHEN ordered THEN k || '.' ELSE '-' END || ' ' || text AS line FROM n"""
 )
 def list_flatten(spark, sf_dir):
     n = F.length("text")
-    items = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", (n % 3).cast("long").alias("level"), (n % 2 == 0).alias("ordered"), F.substring("text", 1, 8).alias("text"))
+    items = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", (n % 3).cast("long").alias("level"), (n % 2 == 0).alias("ordered"), "text")
     return a.flatten_lists(items, ("conv_id",), "turn").select("conv_id", "turn", "line")
 
 
 @query(
-    """WITH s AS (SELECT conv_id AS doc_id, turn AS seq, CASE WHEN length(text) % 7 = 0 THEN '' ELSE left(text, 5) END AS text, CASE WHEN length(text) % 3 = 0 THEN 'bold' ELSE 'italic' END AS style, CASE WHEN length(text) % 5 = 0 THEN 'u' END AS link FROM conversations),
+    """WITH s AS (SELECT conv_id AS doc_id, turn AS seq, CASE WHEN length(text) % 7 = 0 THEN '' ELSE text END AS text, CASE WHEN length(text) % 3 = 0 THEN 'bold' ELSE 'italic' END AS style, CASE WHEN length(text) % 5 = 0 THEN 'u' END AS link FROM conversations),
 k AS (SELECT *, CASE WHEN link IS NOT NULL THEN 'link:' || link ELSE 'style:' || style END AS kind FROM s WHERE text <> ''),
 f AS (SELECT *, CASE WHEN lag(kind) OVER w = kind THEN 0 ELSE 1 END AS b FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY seq)), r AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM f)
 SELECT doc_id, min(seq) AS first, arg_min(style, seq) AS style, any_value(link) AS link, string_agg(text, '' ORDER BY seq) AS text FROM r GROUP BY doc_id, run"""
@@ -82,7 +82,7 @@ SELECT doc_id, min(seq) AS first, arg_min(style, seq) AS style, any_value(link)
 def rich_text_segments(spark, sf_dir):
     n = F.length("text")
     rows = fx.table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.when(n % 7 == 0, "").otherwise(F.substring("text", 1, 5)).alias("text"), F.when(n % 3 == 0, "bold").otherwise("italic").alias("style"), F.when(n % 5 == 0, "u").alias("link")
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.when(n % 7 == 0, "").otherwise(F.col("text")).alias("text"), F.when(n % 3 == 0, "bold").otherwise("italic").alias("style"), F.when(n % 5 == 0, "u").alias("link")
     )
     return a.merge_segments(rows)
 

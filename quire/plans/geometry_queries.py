@@ -12,7 +12,7 @@ from quire.plans.registry import query
 
 _KEYS = ("page_idx",)
 #: Neighbours in det_id: every box with the three after it, so the number of pairs grows with the boxes.
-_NEAR = "b.det_id > a.det_id AND b.det_id <= a.det_id + 3"
+_AFTER = (1, 2, 3)
 _W, _H = "greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0))", "greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"
 _INTER, _AREA_A, _AREA_B = f"({_W} * {_H})", "((a.x1 - a.x0) * (a.y1 - a.y0))", "((b.x1 - b.x0) * (b.y1 - b.y0))"
 
@@ -27,12 +27,14 @@ def _b() -> Box:
 
 def _near(spark, sf_dir):
     boxes = fx.boxes(spark, sf_dir)
-    return spatial.pairs(boxes, boxes, _KEYS, (F.col("b_det_id") > F.col("a_det_id")) & (F.col("b_det_id") <= F.col("a_det_id") + 3))
+    each = boxes.withColumn("near_id", F.explode(F.array(*[F.col("det_id") + k for k in _AFTER])))
+    return spatial.pairs(each, boxes.withColumn("near_id", F.col("det_id")), (*_KEYS, "near_id"), F.lit(True))
 
 
 def _sql(**columns: str) -> str:
     picked = ", ".join(f"{v} AS {k}" for k, v in columns.items())
-    return f"WITH {fx.BOXES_SQL} SELECT a.page_idx, a.det_id AS a_det_id, b.det_id AS b_det_id, {picked} FROM boxes a JOIN boxes b ON a.page_idx = b.page_idx AND {_NEAR}"
+    parts = [f"SELECT a.page_idx, a.det_id AS a_det_id, b.det_id AS b_det_id, {picked} FROM boxes a JOIN boxes b ON b.page_idx = a.page_idx AND b.det_id = a.det_id + {k}" for k in _AFTER]
+    return f"WITH {fx.BOXES_SQL} " + " UNION ALL ".join(parts)
 
 
 def _out(spark, sf_dir, **columns):

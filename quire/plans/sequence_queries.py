@@ -49,8 +49,7 @@ def title_groups(spark, sf_dir):
 
 
 @query(
-    f"""WITH {fx.BLOCKS_SQL}, s AS (SELECT *, arg_max(CASE WHEN type = 'text' THEN det_id END, det_id) FILTER (type IN ('text', 'title')) OVER (PARTITION BY page_idx ORDER BY det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x,
-max(CASE WHEN type IN ('text', 'title') THEN det_id END) OVER (PARTITION BY page_idx ORDER BY det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM blocks)
+    f"""WITH {fx.BLOCKS_SQL}, s AS (SELECT *, max(CASE WHEN type IN ('text', 'title') THEN det_id END) OVER (PARTITION BY page_idx ORDER BY det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM blocks)
 SELECT s.page_idx, s.det_id, CASE WHEN b.type = 'text' THEN b.det_id END AS previous FROM s LEFT JOIN blocks b ON b.page_idx = s.page_idx AND b.det_id = s.last WHERE s.type = 'text'"""
 )
 def previous_text_block(spark, sf_dir):

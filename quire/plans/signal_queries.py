@@ -63,11 +63,11 @@ def cross_script_signal(spark, sf_dir):
 @query(
     r"""SELECT doc_id, n, round(CASE WHEN l = 0 THEN 0 ELSE n / l END, 6) AS ratio, run, n >= 2 AND (run >= 2 OR n >= 0.05 * l) AS odd FROM
 (SELECT doc_id, len(regexp_extract_all(t, '[\x{e000}-\x{f8ff}]')) AS n, coalesce(list_max(list_transform(regexp_extract_all(t, '[\x{e000}-\x{f8ff}]+'), lambda x: length(x))), 0) AS run, length(regexp_replace(t, '\s+', '', 'g')) AS l
- FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(57344) || chr(57345) WHEN 1 THEN chr(57344) || 'a' || chr(57400) ELSE '' END || left(text, 60) AS t FROM documents))"""
+ FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN chr(57344) || chr(57345) WHEN 1 THEN chr(57344) || 'a' || chr(57400) ELSE '' END || text AS t FROM documents))"""
 )
 def pua_signal(spark, sf_dir):
     kind = F.col("doc_id") % 4
-    text = F.concat(F.when(kind == 0, "").when(kind == 1, "a").otherwise(""), F.substring("text", 1, 60))
+    text = F.concat(F.when(kind == 0, "").when(kind == 1, "a").otherwise(""), F.col("text"))
     return fx.table(spark, sf_dir, "documents").select("doc_id", s.private_use(text).alias("p")).select("doc_id", "p.n", "p.ratio", "p.run", "p.odd")
 
 

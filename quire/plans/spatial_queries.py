@@ -29,7 +29,7 @@ def span_to_block(spark, sf_dir):
     return spatial.assign_spans(_spans(spark, sf_dir), _hosts(spark, sf_dir))
 
 
-@query(f"WITH {fx.BLOCKS_SQL}, {_ASSIGN} SELECT page_idx, det_id AS span_id FROM blocks WHERE det_id % 3 <> 0 AND (page_idx, det_id) NOT IN (SELECT page_idx, span_id FROM assigned)")
+@query(f"WITH {fx.BLOCKS_SQL}, {_ASSIGN} SELECT b.page_idx, b.det_id AS span_id FROM blocks b ANTI JOIN assigned s ON s.page_idx = b.page_idx AND s.span_id = b.det_id WHERE b.det_id % 3 <> 0")
 def span_unmatched(spark, sf_dir):
     return spatial.unassigned_spans(_spans(spark, sf_dir), _hosts(spark, sf_dir)).select("page_idx", "span_id")
 

@@ -126,15 +126,6 @@ def formula_tags(spark, sf_dir):
     return fx.table(spark, sf_dir, "orders").select("o_orderkey", t.tagged_formula(formula, number).alias("tagged"))
 
 
-@query(
-    r"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '\begin{matrix} a \end{matrix}' WHEN 1 THEN '\begin{cases} b \end{cases}' ELSE '\begin{array}{c} c \end{array}' END AS repaired FROM orders"""
-)
-def latex_environments(spark, sf_dir):
-    kind = F.col("o_orderkey") % 3
-    broken = F.when(kind == 0, "\\begin{matrix} a \\end{matrix}").when(kind == 1, "\\begin{cases} b").otherwise("c \\end{array}")
-    return fx.table(spark, sf_dir, "orders").select("o_orderkey", t.balance_environments(broken).alias("repaired"))
-
-
 @query(r"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a  $x' || o_orderkey || '$  b' ELSE '<img src="img/p.png"><img src="data:x">' END AS html FROM orders""")
 def table_html_links(spark, sf_dir):
     key = F.col("o_orderkey")
