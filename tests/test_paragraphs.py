@@ -117,7 +117,7 @@ def test_paragraphs_of_random_blocks(spark):
                     x0 += 20 * (k == 0)
                 y0, y1 = (top + 14 * k, top + 14 * k + 12) if kind != "vertical_text" else (100.0, 300.0 - rng.choice([0, 0, 60]))
                 if kind == "vertical_text":
-                    x0, x1 = 200.0 - 20 * b, 212.0 - 20 * b
+                    x0, x1 = 200.0 - 20 * b, 224.0 - 20 * b
                 text = rng.choice(["some words here", "1. item one.", "2 items", "Upper case", "ends here.", "中文文字", "目录 12", "word,", "x", ""])
                 lines.append((x0, y0, x1, y1, text))
             rows.append((doc, b // 3, b, kind, min(a[0] for a in lines), min(a[1] for a in lines), max(a[2] for a in lines), max(a[3] for a in lines), 600.0, lines))
