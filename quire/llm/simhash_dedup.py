@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import _text
@@ -26,6 +26,8 @@ from quire.llm.components import components
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Members above which an anchor is refined.
 ANCHOR_LIMIT = 512
+#: Members above which an anchor of word fingerprints is refined: one task compares so many.
+COPY_LIMIT = 1 << 16
 #: Near copies of the pipeline: one of TABLES fingerprints of single words within RADIUS bits, those of five-word shingles within APART
 #: bits (a similarity of 0.8 is 9.7 bits on average), and numbers of words within a factor of BAND.
 TABLES, SHINGLES, APART, BAND = 3, 5, 13, 1.25
@@ -253,7 +255,7 @@ def _chains(cell: np.ndarray, prints: list[np.ndarray], radii: list[int]) -> tup
 
 
 def _compare(cells: DataFrame, radii: list[int]) -> DataFrame:
-    """cells(cell, one long for each radius) dealt by cell -> links(a0, .., b0, ..) between members."""
+    """cells(cell, one long for each radius), dealt and sorted by cell -> links(a0, .., b0, ..) between members."""
     width = len(radii)
     names = [f"{side}{k}" for side in "ab" for k in range(width)]
 
@@ -274,7 +276,16 @@ def _compare(cells: DataFrame, radii: list[int]) -> DataFrame:
         if len(held[0]):
             yield emit(held)
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_text.lean(compare), ", ".join(f"{n} long" for n in names))
+    return cells.mapInArrow(_text.lean(compare), ", ".join(f"{n} long" for n in names))
+
+
+def _counted(spread: DataFrame, *order: str) -> DataFrame:
+    """spread dealt and sorted by cell and order, with members: the rows of its cell.
+
+    One order everywhere lets a group's trees grow from the same member in all cells, so that most of their links are the same.
+    """
+    cell = Window.partitionBy("cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return spread.withColumn("members", F.count("*").over(cell))
 
 
 def _points(fp: Column) -> Column:
@@ -300,11 +311,11 @@ def _spread(fingerprints: DataFrame) -> DataFrame:
 def near_links(fingerprints: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
     """fingerprints(fp), distinct -> links(a, b) whose components are those of all pairs within two bits."""
 
-    spread = _spread(fingerprints)
-    crowded = materialise(spread.groupBy("cell").count().where(F.col("count") > limit).select("cell"))
-    normal = _compare(spread.join(crowded, "cell", "left_anti"), [RADIUS]).toDF("a", "b")
+    spread = _counted(_spread(fingerprints), "fp")
+    crowded = F.col("members") > limit
+    normal = _compare(spread.where(~crowded).drop("members"), [RADIUS]).toDF("a", "b")
     # Radius 0 around members of crowded anchors: the points are the cells, and a pair within two bits shares one.
-    hot = spread.join(crowded, "cell", "left_semi").select("fp").distinct()
+    hot = spread.where(crowded).select("fp").distinct()
     met = hot.select(F.explode(_points(F.col("fp"))).alias("cell"), "fp")
     # Every member of a point is within two bits of every other: the smallest stands for all.
     met = met.groupBy("cell").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
@@ -350,7 +361,7 @@ def near_prints(docs: DataFrame, *own: str) -> DataFrame:
     return with_package(rows).mapInArrow(_text.lean(compute), ", ".join([f"doc_id {kind}", *(f"{x} long" for x in (*names, *own))]))
 
 
-def copy_links(nodes: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
+def copy_links(nodes: DataFrame, limit: int = COPY_LIMIT) -> DataFrame:
     """nodes(f0, .., g, band), distinct -> links(a, b), structs of f0 and g, whose components are those of all near copies.
 
     A node stands in its own band and the next, so that neighbouring bands meet, and once for each table; its cells are the anchors of that
@@ -359,17 +370,17 @@ def copy_links(nodes: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col(f"f{t}").alias("f")) for t in range(TABLES)])
     each = nodes.select("f0", "g", F.explode(F.array("band", F.col("band") + 1)).alias("band"), tables.alias("tables"))
     each = each.select("f0", "g", "band", F.explode("tables").alias("one")).select("one.f", "g", "f0", (F.col("band") * TABLES + F.col("one.t")).alias("lane"))
-    spread = _spread(each).select(F.col("cell").bitwiseOR(F.call_function("shiftleft", F.col("lane"), F.lit(46))).alias("cell"), "f", "g", "f0", "lane")
-    crowded = materialise(spread.groupBy("cell").count().where(F.col("count") > limit).select("cell"))
+    spread = _counted(_spread(each).select(F.col("cell").bitwiseOR(F.call_function("shiftleft", F.col("lane"), F.lit(46))).alias("cell"), "f", "g", "f0", "lane"), "f0", "g")
+    crowded = F.col("members") > limit
     radii = [RADIUS, APART, 64]  # f0 comes along as a name
-    normal = _compare(spread.join(crowded, "cell", "left_anti").select("cell", "f", "g", "f0"), radii)
-    hot = spread.join(crowded, "cell", "left_semi").select("f", "g", "f0", "lane").distinct()
-    hot = hot.select(F.explode(_points(F.col("f"))).alias("point"), "f", "g", "f0", "lane").select(F.xxhash64("point", "lane").alias("cell"), "f", "g", "f0")
+    normal = _compare(spread.where(~crowded).select("cell", "f", "g", "f0"), radii)
+    hot = spread.where(crowded).select("f", "g", "f0", "lane").distinct()
+    hot = hot.select(F.explode(_points(F.col("f"))).alias("point"), "f", "g", "f0", "lane").select(F.xxhash64("point", "lane").alias("cell"), "f", "g", "f0").repartition("cell").sortWithinPartitions("cell", "f0", "g")
     side = lambda x: F.struct(F.col(f"{x}2").alias("f0"), F.col(f"{x}1").alias("g")).alias(x)
     return normal.unionByName(_compare(hot, radii)).select(side("a"), side("b"))
 
 
-def representatives(docs: DataFrame, limit: int = ANCHOR_LIMIT) -> DataFrame:
+def representatives(docs: DataFrame, limit: int = COPY_LIMIT) -> DataFrame:
     """docs with exactly one row of each group of near copies, one of those with its smallest doc_id (null last).
 
     Near copies have word fingerprints within two bits in one table, five-word shingle fingerprints within APART bits (similarity 0.8 or more, as
