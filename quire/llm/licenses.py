@@ -127,18 +127,25 @@ def gram_key(words: list[str]) -> int:
     return _signed(seed)
 
 
-def _hash_table(entries: dict[int, list], kind: str) -> Column:
-    """array<array<struct<h, v>>>, a constant: the entries of a slot stand at the slot's place."""
-    slots: list[list] = [[] for _ in range(SLOTS)]
-    for h, v in entries.items():
-        slots[h % SLOTS].append({"h": h, "v": v})
-    return F.from_json(F.lit(json.dumps(slots)), f"array<array<struct<h:bigint,v:array<{kind}>>>>")
-
-
-def _hits(keys: Column, table: Column) -> Column:
-    """The values of the keys that are in the table."""
-    look = lambda h: F.filter(F.get(table, F.pmod(h, F.lit(SLOTS)).cast("int")), lambda e: e["h"] == h)
-    return F.transform(F.flatten(F.transform(keys, look)), lambda e: e["v"])
+class _Table:
+    """A hash table as constants of the plan: the entries of a slot stand at the slot's place; a bit for each hash tells most keys away."""
+
+    def __init__(self, entries: dict[int, list], kind: str) -> None:
+        slots: list[list] = [[] for _ in range(SLOTS)]
+        words = [0] * (SLOTS >> 2)
+        for h, v in entries.items():
+            slots[h % SLOTS].append({"h": h, "v": v})
+            words[(h >> 6) % len(words)] |= 1 << (h & 63)
+        self.slots = F.from_json(F.lit(json.dumps(slots)), f"array<array<struct<h:bigint,v:array<{kind}>>>>")
+        self.words = F.from_json(F.lit(json.dumps([_signed(x) for x in words])), "array<bigint>")
+        self.size = len(words)
+
+    def hits(self, keys: Column) -> Column:
+        """The values of the distinct keys that are in the table."""
+        word = lambda h: F.get(self.words, F.pmod(F.shiftright(h, 6), F.lit(self.size)).cast("int"))
+        maybe = F.filter(keys, lambda h: F.call_function("shiftright", word(h), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        look = lambda h: F.filter(F.get(self.slots, F.pmod(h, F.lit(SLOTS)).cast("int")), lambda e: e["h"] == h)
+        return F.transform(F.flatten(F.transform(F.array_distinct(maybe), look)), lambda e: e["v"])
 
 
 def _keys(words: Column, n: int) -> Column:
@@ -156,20 +163,20 @@ def _let(value: Column, body) -> Column:
 def judged(unit: Column) -> Column:
     """struct<family, score, confirmed> of a paragraph or line: family is none, unknown or a licence family."""
     classes, weights, bias, least = trained()
-    weight_of = _hash_table({gram_key(g.split()): [round(float(x), 5) for x in w] for g, w in weights.items()}, "double")
+    weight_of = _Table({gram_key(g.split()): [round(float(x), 5) for x in w] for g, w in weights.items()}, "double")
     templates = [(k, sorted({g for g in grams_of(words_of(t)) if g.count(" ") == 1})) for k, ts in TEMPLATES.items() for t in ts]
     having: dict[int, list[int]] = {}
     for i, (_, gs) in enumerate(templates):
         for g in gs:
             having.setdefault(gram_key(g.split()), []).append(i)
-    template_of = _hash_table(having, "int")
+    template_of = _Table(having, "int")
     words = F.regexp_extract_all(F.lower(unit), F.lit(WORD), F.lit(0))
     start = F.array(*[F.lit(float(x)) for x in bias])
     names, family_of, pairs_of = F.array(*map(F.lit, classes)), F.array(*[F.lit(k) for k, _ in templates]), F.array(*[F.lit(len(gs)) for _, gs in templates])
     most = lambda values: F.array_max(values)
 
     def share(ws: Column, family: Column) -> Column:
-        held = F.flatten(_hits(F.array_distinct(_keys(ws, 2)), template_of))
+        held = F.flatten(template_of.hits(_keys(ws, 2)))
         of = lambda i: F.when(F.get(family_of, i) == family, F.size(F.filter(held, lambda t: t == i)) / F.get(pairs_of, i)).otherwise(0.0)
         return most(F.transform(F.sequence(F.lit(0), F.lit(len(templates) - 1)), of))
 
@@ -185,8 +192,8 @@ def judged(unit: Column) -> Column:
         return F.when((best > 0) & (likely >= least), found).otherwise(none)
 
     def scored(ws: Column) -> Column:
-        grams = F.array_distinct(F.concat(_keys(ws, 1), _keys(ws, 2), _keys(ws, 3)))
-        z = F.aggregate(_hits(grams, weight_of), start, lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))
+        grams = F.concat(_keys(ws, 1), _keys(ws, 2), _keys(ws, 3))
+        z = F.aggregate(weight_of.hits(grams), start, lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))
         return _let(z, lambda z: verdict(ws, z))
 
     return _let(words, scored)
