@@ -10,24 +10,28 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.layout import by_page
 
-def neighbours(cells: DataFrame, gap: int, keys: Sequence[str] = ("sheet",)) -> DataFrame:
+
+def neighbours(cells: DataFrame, gap: int | Column, keys: Sequence[str] = ("sheet",)) -> DataFrame:
     """keys, r, c, up (row of the next cell above within the gap), left (column of the next cell to the left)."""
     above, before = Window.partitionBy(*keys, "c").orderBy("r"), Window.partitionBy(*keys, "r").orderBy("c")
     up, left = F.lag("r").over(above), F.lag("c").over(before)
     return cells.select(*keys, "r", "c", F.when(F.col("r") - up <= gap + 1, up).alias("up"), F.when(F.col("c") - left <= gap + 1, left).alias("left"))
 
 
-def components(cells: DataFrame, gap: int = 0, keys: Sequence[str] = ("sheet",)) -> DataFrame:
-    """keys, r, c, table_r, table_c: each cell with the first cell (by row, then column) of its table."""
+def components(cells: DataFrame, gap: int | Column = 0, keys: Sequence[str] = ("sheet",)) -> DataFrame:
+    """keys, r, c, table_r, table_c: each cell with the first cell (by row, then column) of its table. gap may be a column of the keys."""
     kinds = dict(cells.dtypes)
 
     def work(sheet: pd.DataFrame) -> pd.DataFrame:
-        at = {(r, c): i for i, (r, c) in enumerate(zip(sheet["r"], sheet["c"], strict=True))}
-        parent = np.arange(len(sheet))
+        sheet = sheet.iloc[np.lexsort((sheet["c"].to_numpy(), sheet["r"].to_numpy()))]
+        r, c = sheet["r"].tolist(), sheet["c"].tolist()
+        at = {place: i for i, place in enumerate(zip(r, c))}
+        parent = list(range(len(r)))
 
         def find(i: int) -> int:
             while parent[i] != i:
@@ -35,18 +39,17 @@ def components(cells: DataFrame, gap: int = 0, keys: Sequence[str] = ("sheet",))
                 i = parent[i]
             return i
 
-        for i, (r, c, up, left) in enumerate(zip(sheet["r"], sheet["c"], sheet["up"], sheet["left"], strict=True)):
-            for other in ((up, c), (r, left)):
-                if not (pd.isna(other[0]) or pd.isna(other[1])):
-                    a, b = find(i), find(at[(int(other[0]), int(other[1]))])
-                    parent[max(a, b)] = min(a, b)
-        roots = np.array([find(i) for i in range(len(sheet))])
-        out = sheet[[*keys, "r", "c"]].assign(root=roots)
-        first = out.sort_values(["r", "c"]).groupby("root")[["r", "c"]].first().rename(columns={"r": "table_r", "c": "table_c"})
-        return out.join(first, on="root").drop(columns="root")
+        for i, (up, left) in enumerate(zip(sheet["up"].tolist(), sheet["left"].tolist())):
+            for other in ((up, c[i]), (r[i], left)):
+                if (j := at.get(other)) is not None:  # a missing neighbour is a NaN, which no cell has
+                    x, y = find(i), find(j)
+                    parent[max(x, y)] = min(x, y)
+        roots = [find(i) for i in range(len(r))]
+        # Cells are in order, so the least of a table's numbers is its first cell.
+        return sheet[[*keys, "r", "c"]].assign(table_r=[r[k] for k in roots], table_c=[c[k] for k in roots])
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "r int, c int, table_r int, table_c int"])
-    return neighbours(cells, gap, keys).groupBy(*keys).applyInPandas(work, schema)
+    return by_page(neighbours(cells, gap, keys), keys, work, schema)
 
 
 def tables(found: DataFrame, keys: Sequence[str] = ("sheet",)) -> DataFrame:
@@ -70,9 +73,9 @@ def longest_blank_rows(cells: DataFrame, keys: Sequence[str] = ("sheet",)) -> Da
 
 def best_gap(cells: DataFrame, gaps: Sequence[int] = (1, 0, 2), within: float = 0.15, keys: Sequence[str] = ("sheet",)) -> DataFrame:
     """keys, gap, n_tables: the gap whose tables have the least share of blank cells; of gaps within `within` of the best the first in `gaps`."""
-    tried = None
-    for rank, gap in enumerate(gaps):
-        t = tables(components(cells, gap, keys), keys).groupBy(*keys).agg(F.count("*").alias("n_tables"), (1 - F.sum("n") / F.sum("area")).alias("blank")).withColumns({"gap": F.lit(gap), "rank": F.lit(rank)})
-        tried = t if tried is None else tried.unionByName(t)
+    # All gaps are tried in one pass: a sheet stands once for each.
+    each = cells.withColumn("gap", F.explode(F.array(*map(F.lit, gaps))))
+    tried = tables(components(each, F.col("gap"), (*keys, "gap")), (*keys, "gap")).groupBy(*keys, "gap").agg(F.count("*").alias("n_tables"), (1 - F.sum("n") / F.sum("area")).alias("blank"))
+    tried = tried.withColumn("rank", F.array_position(F.array(*map(F.lit, gaps)), F.col("gap")))
     tried = tried.withColumn("best", F.min("blank").over(Window.partitionBy(*keys))).where(F.col("blank") <= F.col("best") + within)
     return tried.groupBy(*keys).agg(F.min_by(F.struct("gap", "n_tables"), "rank").alias("b")).select(*keys, "b.gap", "b.n_tables")

@@ -1,12 +1,12 @@
 """Layout detections of one page: duplicates, nesting, labels, order.
 
 A page has at most a few hundred boxes, so what depends on boxes kept before (greedy suppression, merging to a fixed point, swaps,
-recursive cuts) runs on one page at a time as grouped Arrow tables; everything else is an expression or a join.
+recursive cuts) runs on one page at a time, many pages to an Arrow batch; everything else is an expression or a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,31 @@ from quire.operators.spatial import pairs
 NMS_IOU, NESTED_FORMULA, FORMULA_COVER, SAME_ROW, LEAST_GAP, NARROW_SHARE = 0.9, 0.7, 0.7, 10.0, 5.0, 0.1
 
 
-def _by_page(boxes: DataFrame, keys: Sequence[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return boxes.groupBy(*keys).applyInPandas(work, schema)
+def by_page(boxes: DataFrame, keys: Sequence[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """work on each page. Pages are dealt and sorted by key, so a batch holds many of them whole; only its last page waits for the next batch."""
+    names = list(keys)
+
+    def whole_pages(frame: pd.DataFrame) -> tuple[list[pd.DataFrame], pd.DataFrame]:
+        same = np.ones(max(len(frame) - 1, 0), bool)
+        for k in names:
+            column = frame[k].to_numpy()
+            same &= column[1:] == column[:-1]
+        edges = [0, *(np.flatnonzero(~same) + 1).tolist()]
+        return [frame.iloc[a:b] for a, b in zip(edges, edges[1:])], frame.iloc[edges[-1] :]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            frame = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
+            if not len(frame):
+                continue
+            pages, rest = whole_pages(frame)
+            if pages:
+                yield pd.concat([work(p) for p in pages], ignore_index=True)
+        if rest is not None and len(rest):
+            yield work(rest)
+
+    return boxes.repartition(*names).sortWithinPartitions(*names).mapInPandas(run, schema)
 
 
 def _schema(df: DataFrame, *more: str) -> str:
@@ -30,11 +53,11 @@ def _schema(df: DataFrame, *more: str) -> str:
 
 
 def _iou(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    w = np.clip(np.minimum(box[2], others[:, 2]) - np.maximum(box[0], others[:, 0]), 0, None)
-    h = np.clip(np.minimum(box[3], others[:, 3]) - np.maximum(box[1], others[:, 1]), 0, None)
+    w = np.clip(np.minimum(box[..., 2], others[..., 2]) - np.maximum(box[..., 0], others[..., 0]), 0, None)
+    h = np.clip(np.minimum(box[..., 3], others[..., 3]) - np.maximum(box[..., 1], others[..., 1]), 0, None)
     area = lambda b: np.clip(b[..., 2] - b[..., 0], 0, None) * np.clip(b[..., 3] - b[..., 1], 0, None)
     union = area(box) + area(others) - w * h
-    return np.divide(w * h, union, out=np.zeros(len(others)), where=union > 0)
+    return np.divide(w * h, union, out=np.zeros(union.shape), where=union > 0)
 
 
 def suppress(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str = "det_id", most: float = NMS_IOU) -> DataFrame:
@@ -42,13 +65,14 @@ def suppress(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str
 
     def work(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values(["score", box_id], ascending=[False, True], kind="stable")
-        xy, kept = page[["x0", "y0", "x1", "y1"]].to_numpy(float), []
-        for i in range(len(xy)):
-            if not kept or not (_iou(xy[i], xy[kept]) > most).any():
-                kept.append(i)
-        return page.iloc[kept]
+        xy = page[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        over, kept = np.triu(_iou(xy[:, None], xy) > most, 1), np.ones(len(xy), bool)
+        for i in np.flatnonzero(over.any(axis=1)):
+            if kept[i]:
+                kept &= ~over[i]
+        return page[kept]
 
-    return _by_page(boxes, keys, work, _schema(boxes))
+    return by_page(boxes, keys, work, _schema(boxes))
 
 
 def merge_nested_formulas(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str = "det_id", overlap: float = NESTED_FORMULA) -> DataFrame:
@@ -75,7 +99,7 @@ def merge_nested_formulas(boxes: DataFrame, keys: Sequence[str] = ("page_idx",),
                     break
         return pd.DataFrame(rows, columns=page.columns)
 
-    return _by_page(boxes, keys, work, _schema(boxes))
+    return by_page(boxes, keys, work, _schema(boxes))
 
 
 def relabel_formulas(formulas: DataFrame, parents: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str = "det_id", cover: float = FORMULA_COVER) -> DataFrame:
@@ -104,7 +128,7 @@ def rows_first(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: st
                 order[j], order[j + 1] = b, a
         return page.iloc[order].assign(place=np.arange(len(order)))
 
-    return _by_page(boxes, keys, work, _schema(boxes, "place long"))
+    return by_page(boxes, keys, work, _schema(boxes, "place long"))
 
 
 def _largest_gap(low: np.ndarray, high: np.ndarray) -> tuple[float, float]:
@@ -156,7 +180,7 @@ def reading_places(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id
         order = cut_order(page[["x0", "y0", "x1", "y1"]].to_numpy(float))
         return page.iloc[order].assign(place=np.arange(len(order)))
 
-    return _by_page(boxes, keys, work, _schema(boxes, "place long"))
+    return by_page(boxes, keys, work, _schema(boxes, "place long"))
 
 
 def union_area(boxes: DataFrame, keys: Sequence[str] = ("page_idx",)) -> DataFrame:
@@ -175,4 +199,4 @@ def union_area(boxes: DataFrame, keys: Sequence[str] = ("page_idx",)) -> DataFra
                 end = max(end, y1)
         return page[list(keys)].head(1).assign(area=total)
 
-    return _by_page(boxes, keys, work, ", ".join([*(f"{k} {dict(boxes.dtypes)[k]}" for k in keys), "area double"]))
+    return by_page(boxes, keys, work, ", ".join([*(f"{k} {dict(boxes.dtypes)[k]}" for k in keys), "area double"]))

@@ -131,8 +131,11 @@ def best_cells(texts: DataFrame, cells: DataFrame, keys: Sequence[str] = ("page_
     """keys, text_id, cell_id, iou: each recognised text with its cell, by IoU, then the distance of corners, then position."""
     a, b = Box.named("a_"), Box.named("b_")
     apart = lambda p, q: F.abs(p.x0 - q.x0) + F.abs(p.y0 - q.y0) + F.abs(p.x1 - q.x1) + F.abs(p.y1 - q.y1)
-    # Only cells that overlap can have an IoU at all, so the others never enter the sums.
-    met = pairs(texts, cells, keys, g.is_overlapping(a, b)).withColumns({"iou": g.iou(a, b), "apart": apart(a, b)}).where(F.col("iou") > least)
+    # Only cells that overlap can have an IoU at all: four comparisons in the join keep the others from the sums.
+    meets = (a.x0 < b.x1) & (b.x0 < a.x1) & (a.y0 < b.y1) & (b.y0 < a.y1)
+    shared = (F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0)) * (F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0))
+    met = pairs(texts, cells, keys, meets).withColumn("shared", shared)
+    met = met.withColumns({"iou": F.try_divide("shared", a.width * a.height + b.width * b.height - F.col("shared")), "apart": apart(a, b)}).where(F.col("iou") > least)
     best = F.min_by(F.struct("b_det_id", "iou"), F.struct(1 - F.col("iou"), F.col("apart"), F.col("b_det_id")))
     return met.groupBy(*keys, F.col("a_det_id").alias("text_id")).agg(best.alias("best")).select(*keys, "text_id", F.col("best.b_det_id").alias("cell_id"), F.round("best.iou", 6).alias("iou"))
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from quire.functions.text import escape_html, half_width, no_space
 from quire.operators.sequence import reading_order
@@ -71,9 +71,13 @@ def rows_of_html(html: str) -> list[list[dict]]:
 def parse(html: Column) -> Column:
     """Rows of cells (text, colspan, rowspan) of an HTML table; null for null."""
 
-    @pandas_udf(ROWS)
-    def cells(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else rows_of_html(v))
+    cell = pa.struct([("text", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32())])
+
+    @arrow_udf(ROWS)
+    def cells(values: pa.Array) -> pa.Array:
+        # A text that stands in the batch again is parsed once.
+        coded = values.dictionary_encode()
+        return pa.array([rows_of_html(v) for v in coded.dictionary.to_pylist()], pa.list_(pa.list_(cell))).take(coded.indices)
 
     return cells(html)
 

@@ -71,9 +71,9 @@ def bbox_axis_overlaps(spark, sf_dir):
 
 @query(_sql(smaller_area=f"CASE WHEN {_INTER} / least({_AREA_A}, {_AREA_B}) > 0.3 THEN least({_AREA_A}, {_AREA_B}) END", smaller_is_first=f"CASE WHEN {_INTER} / least({_AREA_A}, {_AREA_B}) > 0.3 THEN {_AREA_A} <= {_AREA_B} END"))
 def bbox_smaller_of_overlapping(spark, sf_dir):
-    small = g.smaller_if_overlapping(_a(), _b(), 0.3)
-    area = Box.of_struct(small).area
-    return _out(spark, sf_dir, smaller_area=area, smaller_is_first=F.when(small.isNotNull(), _a().area <= _b().area))
+    rows = _near(spark, sf_dir).withColumn("small", g.smaller_if_overlapping(_a(), _b(), 0.3))
+    small, found = Box.of_struct(F.col("small")), F.col("small").isNotNull()
+    return rows.select("page_idx", "a_det_id", "b_det_id", F.when(found, small.width * small.height).alias("smaller_area"), F.when(found, _a().area <= _b().area).alias("smaller_is_first"))
 
 
 @query(_sql(gap_top="CASE WHEN a.y1 <= b.y0 THEN a.y1 WHEN b.y1 <= a.y0 THEN b.y1 END", gap_bottom="CASE WHEN a.y1 <= b.y0 THEN b.y0 WHEN b.y1 <= a.y0 THEN a.y0 END"))

@@ -235,3 +235,20 @@ def test_task_stream_tells_changes(spark, tmp_path):
     t = lambda s: datetime(2024, 1, 1, 0, 0, s)
     out = run_stream(spark, tmp_path, "task_id long, status string, ts timestamp", [[(1, "pending", t(1)), (2, "pending", t(1))], [(1, "completed", t(5)), (2, "pending", t(6))]], tasks.task_stream, "update")
     assert sorted((a, b) for a, b, _ in out) in ([(1, "completed"), (1, "pending"), (2, "pending")], [(1, "completed"), (2, "pending")])
+
+
+def test_best_gap_takes_the_tables_of_one_gap(spark):
+    rng = random.Random(3)
+    data = sorted({(s, rng.randrange(9), rng.randrange(9)) for s in range(30) for _ in range(rng.randrange(5, 40))})
+    df = spark.createDataFrame(data, "sheet int, r int, c int")
+    tried = {}
+    for rank, gap in enumerate((1, 0, 2)):
+        tables_of = {}
+        for r in cells.components(df, gap).collect():
+            tables_of.setdefault(r["sheet"], {}).setdefault((r["table_r"], r["table_c"]), []).append((r["r"], r["c"]))
+        for sheet, found in tables_of.items():
+            span = lambda xs: max(xs) - min(xs) + 1
+            area = sum(span([a for a, _ in t]) * span([b for _, b in t]) for t in found.values())
+            tried.setdefault(sheet, []).append((1 - sum(map(len, found.values())) / area, rank, gap, len(found)))
+    want = {s: min((x for x in t if x[0] <= min(t)[0] + 0.15 + 1e-12), key=lambda x: x[1])[2:] for s, t in tried.items()}
+    assert {r["sheet"]: (r["gap"], r["n_tables"]) for r in cells.best_gap(df).collect()} == want
