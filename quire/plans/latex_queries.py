@@ -50,9 +50,9 @@ def latex_spaced(spark, sf_dir):
 
 
 @query(
-    rf"""WITH {FORMULAS_SQL}, n AS (SELECT *, len(regexp_extract_all(f, '\\begin\{{array\}}')) - len(regexp_extract_all(f, '\\end\{{array\}}')) AS a, len(regexp_extract_all(f, '\\begin\{{cases\}}')) AS c, len(regexp_extract_all(f, '\\end\{{align\}}')) AS g,
-regexp_extract(f, '\\begin\{{array\}}(\{{[^}}]*\}})', 1) AS form FROM formulas)
-SELECT o_orderkey, repeat('\begin{{align}} ', g) || repeat('\begin{{array}}' || CASE WHEN form = '' THEN '{{c}}' ELSE form END || ' ', greatest(-a, 0)) || f || repeat(' \end{{array}}', greatest(a, 0)) || repeat(' \end{{cases}}', c) AS f FROM n"""
+    rf"""WITH {FORMULAS_SQL}, n AS (SELECT *, len(regexp_extract_all(f, '\\begin\{{array\}}')) - len(regexp_extract_all(f, '\\end\{{array\}}')) AS a, regexp_extract(f, '\\begin\{{array\}}(\{{[^}}]*\}})', 1) AS form FROM formulas),
+m AS (SELECT o_orderkey, repeat('\begin{{array}}' || CASE WHEN form = '' THEN '{{c}}' ELSE form END || ' ', greatest(-a, 0)) || f || repeat(' \end{{array}}', greatest(a, 0)) AS f FROM n)
+SELECT o_orderkey, repeat('\begin{{align}} ', len(regexp_extract_all(f, '\\end\{{align\}}'))) || f || repeat(' \end{{cases}}', len(regexp_extract_all(f, '\\begin\{{cases\}}'))) AS f FROM m"""
 )
 def latex_environments(spark, sf_dir):
     return formulas(spark, sf_dir).select("o_orderkey", latex.balance_environments(F.col("f")).alias("f"))
