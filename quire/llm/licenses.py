@@ -140,19 +140,21 @@ class _Table:
         self.words = F.from_json(F.lit(json.dumps([_signed(x) for x in words])), "array<bigint>")
         self.size = len(words)
 
+    def may_have(self, h: Column) -> Column:
+        word = F.get(self.words, F.pmod(F.shiftright(h, 6), F.lit(self.size)).cast("int"))
+        return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
     def hits(self, keys: Column) -> Column:
         """The values of the distinct keys that are in the table."""
-        word = lambda h: F.get(self.words, F.pmod(F.shiftright(h, 6), F.lit(self.size)).cast("int"))
-        maybe = F.filter(keys, lambda h: F.call_function("shiftright", word(h), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
         look = lambda h: F.filter(F.get(self.slots, F.pmod(h, F.lit(SLOTS)).cast("int")), lambda e: e["h"] == h)
-        return F.transform(F.flatten(F.transform(F.array_distinct(maybe), look)), lambda e: e["v"])
+        return F.transform(F.flatten(F.transform(F.array_distinct(F.filter(keys, self.may_have)), look)), lambda e: e["v"])
 
 
-def _keys(words: Column, n: int) -> Column:
-    """Hashes of the runs of n words."""
-    last = F.size(words) - n
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
-    return F.when(last >= 0, runs).otherwise(F.array().cast("array<bigint>"))
+def _runs(words: Column, places: Column, n: int, table: _Table) -> Column:
+    """array<struct<at, h>>: the runs of n words that begin at places and may be in the table, by hash."""
+    inside = F.filter(places, lambda i: i + n <= F.size(words))
+    keyed = F.transform(inside, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(words, i + k) for k in range(n)]).alias("h")))
+    return F.filter(keyed, lambda x: table.may_have(x["h"]))
 
 
 def _let(value: Column, body) -> Column:
@@ -175,26 +177,33 @@ def judged(unit: Column) -> Column:
     names, family_of, pairs_of = F.array(*map(F.lit, classes)), F.array(*[F.lit(k) for k, _ in templates]), F.array(*[F.lit(len(gs)) for _, gs in templates])
     most = lambda values: F.array_max(values)
 
-    def share(ws: Column, family: Column) -> Column:
-        held = F.flatten(template_of.hits(_keys(ws, 2)))
+    def share(pairs: Column, family: Column) -> Column:
+        held = F.flatten(template_of.hits(pairs))
         of = lambda i: F.when(F.get(family_of, i) == family, F.size(F.filter(held, lambda t: t == i)) / F.get(pairs_of, i)).otherwise(0.0)
         return most(F.transform(F.sequence(F.lit(0), F.lit(len(templates) - 1)), of))
 
-    def verdict(ws: Column, z: Column) -> Column:
+    def verdict(pairs: Column, z: Column) -> Column:
         top = most(z)
         total = F.aggregate(z, F.lit(0.0), lambda n, x: n + F.exp(x - top))
         best = (F.array_position(z, top) - 1).cast("int")
         likely = 1 - F.exp(F.get(z, F.lit(0)) - top) / total
         family = F.get(names, best)
         none = F.struct(F.lit(NONE).alias("family"), (1 / total).alias("score"), F.lit(False).alias("confirmed"))
-        sure = (1 / total >= 0.5 * likely) & (share(ws, family) >= CONFIRM)
+        sure = (1 / total >= 0.5 * likely) & (share(pairs, family) >= CONFIRM)
         found = F.struct(F.when(sure, family).otherwise(UNKNOWN).alias("family"), (1 / total).alias("score"), sure.alias("confirmed"))
         return F.when((best > 0) & (likely >= least), found).otherwise(none)
 
+    # The vocabulary holds every part of its n-grams, so a run can only be in it where the shorter run at its place is.
+    at, hashes = lambda xs: F.transform(xs, lambda x: x["at"]), lambda xs: F.transform(xs, lambda x: x["h"])
+    every = lambda ws: F.slice(F.sequence(F.lit(0), F.size(ws)), F.lit(1), F.size(ws))
+
     def scored(ws: Column) -> Column:
-        grams = F.concat(_keys(ws, 1), _keys(ws, 2), _keys(ws, 3))
+        return _let(_runs(ws, every(ws), 1, weight_of), lambda one: _let(_runs(ws, at(one), 2, weight_of), lambda two: summed(ws, one, two)))
+
+    def summed(ws: Column, one: Column, two: Column) -> Column:
+        grams = F.concat(hashes(one), hashes(two), hashes(_runs(ws, at(two), 3, weight_of)))
         z = F.aggregate(weight_of.hits(grams), start, lambda acc, w: F.zip_with(acc, w, lambda x, y: x + y))
-        return _let(z, lambda z: verdict(ws, z))
+        return _let(z, lambda z: verdict(hashes(two), z))
 
     return _let(words, scored)
 
