@@ -1,19 +1,20 @@
 r"""Repair of recognised formulas.
 
-Steps are column expressions over marks of the text (an escape with its character, a brace, or a run of anything else), so that
-no step looks at a brace or command behind an odd number of backslashes. Only moving a \right into the group of its \left
-needs a function of the whole text.
+Steps read marks of the text (an escape with its character, a brace, or a run of anything else), so that no step looks at a brace or
+command behind an odd number of backslashes. Braces and delimiters need a stack, so they are Arrow functions; the other steps are column
+expressions. A step names its text more than once, so `repaired` binds the text between steps; else each step would work out all
+steps before it several times over.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.functions import arrow_udf
 
 # What may stand behind \left and \right.
 DELIMITERS = ("(", ")", "[", "]", "{", "}", "/", "|", r"\{", r"\}", r"\lceil", r"\rceil", r"\lfloor", r"\rfloor", r"\backslash", r"\uparrow", r"\downarrow", r"\Uparrow", r"\Downarrow", r"\|", r"\.")
@@ -37,40 +38,49 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _marks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?s)\\.|[{}]|[^\\{}]+|\\"), F.lit(0))
+def _each_text(f: Callable[[str], str], text: Column) -> Column:
+    @arrow_udf("string")
+    def of_batch(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f(v) for v in values.to_pylist()], pa.string())
 
+    return of_batch(text)
 
-def balanced_braces(text: Column) -> Column:
-    """Without the braces that have no partner."""
-    def one_way(marks: Column, opening: str, closing: str) -> Column:
-        """marks without each closing brace that nothing before it opens."""
-        zero = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("out"))
 
-        def step(s: Column, x: Column) -> Column:
-            lone = (x == closing) & (s["open"] == 0)
-            now = s["open"] + F.when(x == opening, 1).when((x == closing) & ~lone, -1).otherwise(0)
-            return F.struct(now.alias("open"), F.when(lone, s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"))
+_MARKS = re.compile(r"(?s)\\.|[{}]")
 
-        return F.aggregate(marks, zero, step, lambda s: s["out"])
 
-    forward = _let(_marks(text), lambda ms: one_way(ms, "{", "}"))
-    both = _let(F.reverse(forward), lambda ms: one_way(ms, "}", "{"))
-    return F.when(text.rlike(r"[{}]"), F.array_join(F.reverse(both), "")).otherwise(text)
+def balanced(text: str) -> str:
+    """Without the braces that have no partner."""
+    opened, lone = [], []
+    for m in _MARKS.finditer(text):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif m[0] == "}":
+            if opened:
+                opened.pop()
+            else:
+                lone.append(m.start())
+    if not opened and not lone:
+        return text
+    ends = [-1, *sorted(lone + opened), len(text)]
+    return "".join(text[a + 1 : b] for a, b in zip(ends, ends[1:]))
 
 
-def _known_delimiters(text: Column) -> Column:
-    r"""\left and \right before anything but a known delimiter get a dot in its place."""
-    known = "|".join(re.escape(d) for d in DELIMITERS)
-    for command in ("left", "right"):
-        text = F.regexp_replace(text, rf"\\{command}(?!(?:{known})(?!\S))\S*", rf"\\{command}.")
-    return text
+def balanced_braces(text: Column) -> Column:
+    """Without the braces that have no partner."""
+    return _each_text(balanced, text)
+
+
+_KNOWN = "|".join(re.escape(d) for d in DELIMITERS)
+#: White space is ASCII here, as in the column expressions.
+_UNKNOWN_DELIMITERS = [(re.compile(rf"(?a)\\{c}(?!(?:{_KNOWN})(?!\S))\S*"), rf"\\{c}.") for c in ("left", "right")]
+_LEFTS, _RIGHTS, _BOTH = re.compile(r"\\left(?![a-zA-Z])"), re.compile(r"\\right(?![a-zA-Z])"), re.compile(r"\\left\.?|\\right\.?")
 
 
 def _group_end(text: str, begin: int, depth: int) -> int:
     """Where the group that holds begin closes; -1 if it doesn't. Counting starts from depth."""
     now = depth
-    for m in re.compile(r"(?s)\\.|[{}]").finditer(text, begin):
+    for m in _MARKS.finditer(text, begin):
         if m[0] in "{}":
             now += 1 if m[0] == "{" else -1
             if now < depth:
@@ -105,22 +115,18 @@ def paired(text: str) -> str:
     return text
 
 
-def _paired(text: Column) -> Column:
-    @pandas_udf(StringType())
-    def move(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else paired(v))
-
-    return move(text)
+def delimited(text: str) -> str:
+    r"""Known delimiters behind \left and \right (others become a dot), as many of one as of the other, each pair in one group; all are dropped where numbers differ."""
+    for unknown, dot in _UNKNOWN_DELIMITERS:
+        text = unknown.sub(dot, text)
+    if len(_LEFTS.findall(text)) != len(_RIGHTS.findall(text)):
+        return _BOTH.sub("", text)
+    return paired(text) if "\\left" in text else text
 
 
 def matched_delimiters(text: Column) -> Column:
     r"""Known delimiters behind \left and \right, as many of one as of the other, each pair in one group; all are dropped where numbers differ."""
-    known = _known_delimiters(text)
-    count = lambda t, c: F.regexp_count(t, F.lit(rf"\\{c}(?![a-zA-Z])"))
-    dropped = lambda t: F.regexp_replace(t, r"\\left\.?|\\right\.?", "")
-    even = _let(known, lambda t: F.when(count(t, "left") == count(t, "right"), t))
-    moved = F.when(even.contains("\\left"), _paired(even)).otherwise(even)
-    return F.when(even.isNotNull(), moved).otherwise(dropped(known))
+    return _each_text(delimited, text)
 
 
 def balance_environments(text: Column) -> Column:
@@ -128,6 +134,7 @@ def balance_environments(text: Column) -> Column:
 
     def one(name: str):
         begin, shown = rf"\\begin\{{{name}\}}", f"{{{name}}}"
+        stem = "{" + name.removesuffix("n*")  # every begin or end of the name holds it
 
         def fix(t: Column) -> Column:
             lacking = F.regexp_count(t, F.lit(begin)) - F.regexp_count(t, F.lit(rf"\\end\{{{name}\}}"))
@@ -135,7 +142,8 @@ def balance_environments(text: Column) -> Column:
             form = F.when(given != "", given).otherwise("{c}" if name == "array" else "")
             opening = F.concat(F.lit("\\begin" + shown), form, F.lit(" "))
             closing = F.lit(" \\end" + shown)
-            return F.concat(F.repeat(opening, F.greatest(-lacking, F.lit(0))), t, F.repeat(closing, F.greatest(lacking, F.lit(0))))
+            whole = _let(lacking, lambda n: F.concat(F.repeat(opening, F.greatest(-n, F.lit(0))), t, F.repeat(closing, F.greatest(n, F.lit(0)))))
+            return F.when(t.contains(stem), whole).otherwise(t)
 
         return fix
 
@@ -178,7 +186,6 @@ def spaced_commands(text: Column) -> Column:
 
 def repaired(text: Column) -> Column:
     """A recognised formula after all repairs; a null stays null."""
-    text = balance_environments(matched_delimiters(balanced_braces(text)))
-    text = replaced_commands(without_unsupported(plain_greek(text)))
-    text = F.regexp_replace(spaced_commands(text), r"\\qquad(?!\s)", r"\\qquad ")
-    return F.regexp_replace(text, r"\\+\z", "")
+    text = _let(matched_delimiters(balanced_braces(text)), balance_environments)
+    text = _let(replaced_commands(without_unsupported(plain_greek(text))), spaced_commands)
+    return F.regexp_replace(F.regexp_replace(text, r"\\qquad(?!\s)", r"\\qquad "), r"\\+\z", "")
