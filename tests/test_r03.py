@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import latex
+from quire.operators import sequence
 
 
 def test_repair_works_out_each_step_once(spark):
@@ -17,3 +18,9 @@ def test_repair_of_braces_and_delimiters(spark):
     got = [tuple(r) for r in df.orderBy("i").select(latex.balanced_braces(F.col("f")), latex.matched_delimiters(F.col("f"))).collect()]
     assert [g[0] for g in got] == [r"\left\{ a{b}\right) c", r"{\left( x}\right) y", r"\left< a\right>", r"\left( a", r"\{\}", "", None]
     assert [g[1] for g in got] == [r"}{\left\{ a{b}\right) c{", r"{\left( x\right)} y", r"\left. a\right.", "( a", r"\{}{\}", "", None]
+
+
+def test_equal_intervals_that_open_a_run_stay_in_it(spark):
+    rows = [(p, lo, lo + 9.0) for p in range(50) for lo in (0.0, 20.0, 20.0, 20.0, 25.0, 40.0, 40.0) for _ in range(3)]
+    got = sequence.interval_union(spark.createDataFrame(rows, "page_idx long, y0 double, y1 double").repartition(7), "y0", "y1").collect()
+    assert sorted(map(tuple, got)) == [(p, a, b) for p in range(50) for a, b in ((0.0, 9.0), (20.0, 34.0), (40.0, 49.0))]
