@@ -1,7 +1,8 @@
 """Layout detections of one page: duplicates, nesting, labels, order.
 
 A page has at most a few hundred boxes, so what depends on boxes kept before (greedy suppression, merging to a fixed point, swaps,
-recursive cuts) runs on one page at a time, many pages to an Arrow batch; everything else is an expression or a join.
+recursive cuts) runs in numpy on many pages at once: pages of like size are rows of padded arrays, and a loop goes over the boxes of a page or the
+levels of its cuts, not over pages. Everything else is an expression or a join.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
@@ -48,6 +49,74 @@ def by_page(boxes: DataFrame, keys: Sequence[str], work: Callable[[pd.DataFrame]
     return boxes.repartition(*names).sortWithinPartitions(*names).mapInPandas(run, schema)
 
 
+def by_pages(boxes: DataFrame, keys: Sequence[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """work on whole pages, many at a time: it gets their rows and, from 0, the number of each row's page; rows of a page stand together.
+
+    A window by page deals and sorts the rows where they are not dealt by page already, so pages that come from a window or a group move no second time.
+    Only the last page of a batch waits for the next batch.
+    """
+    names = list(keys)
+
+    def numbered(frame: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(frame), bool)
+        for k in names:
+            column = frame[k].to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        return np.cumsum(new)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            frame = batch.drop(columns="_rows") if rest is None else pd.concat([rest, batch.drop(columns="_rows")], ignore_index=True)
+            if not len(frame):
+                continue
+            page = numbered(frame)
+            cut = int(np.searchsorted(page, page[-1]))
+            if cut:
+                yield work(frame.iloc[:cut], page[:cut])
+            rest = frame.iloc[cut:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield work(rest, np.zeros(len(rest), int))
+
+    return boxes.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*names))).mapInPandas(run, schema)
+
+
+#: Places of a padded array; what a step holds is a few such arrays.
+_PLACES = 1 << 16
+
+
+def _by_size(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs (of sizes from starts on) of like size together: their numbers, and of each, in a row, its places and which of them are its own."""
+    order = np.argsort(sizes, kind="stable")
+    ranked, at = sizes[order], 0
+    while at < len(order):
+        alike = int(np.searchsorted(ranked, max(2 * ranked[at], 8), "right"))
+        end = min(alike, at + max(1, _PLACES // int(ranked[alike - 1])))
+        some = order[at:end]
+        along = np.arange(ranked[end - 1])
+        own = along < sizes[some, None]
+        yield some, np.where(own, starts[some, None] + along, starts[some, None]), own
+        at = end
+
+
+def _pages(page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, number of rows) of each page."""
+    sizes = np.bincount(page)
+    return np.cumsum(sizes) - sizes, sizes
+
+
+def _sortable(column: pd.Series) -> np.ndarray:
+    """Numbers that sort as the column does, nulls last."""
+    if pd.api.types.is_numeric_dtype(column.dtype):
+        return column.to_numpy()
+    codes = pd.factorize(column, sort=True)[0]
+    return np.where(codes < 0, len(codes), codes)
+
+
+def _corners(frame: pd.DataFrame) -> np.ndarray:
+    return frame[["x0", "y0", "x1", "y1"]].to_numpy(float)
+
+
 def _schema(df: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
 
@@ -186,17 +255,26 @@ def reading_places(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id
 def union_area(boxes: DataFrame, keys: Sequence[str] = ("page_idx",)) -> DataFrame:
     """keys, area: what all boxes of a page cover together."""
 
-    def work(page: pd.DataFrame) -> pd.DataFrame:
-        b = page[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        b = b[(b[:, 0] < b[:, 2]) & (b[:, 1] < b[:, 3])]
-        xs, total = np.unique(b[:, [0, 2]]), 0.0
-        for left, right in zip(xs[:-1], xs[1:], strict=True):
-            strip = b[(b[:, 0] <= left) & (b[:, 2] >= right)]
-            strip = strip[np.argsort(strip[:, 1])]
-            end = -np.inf
-            for y0, y1 in strip[:, [1, 3]]:
-                total += (right - left) * max(0.0, y1 - max(y0, end))
-                end = max(end, y1)
-        return page[list(keys)].head(1).assign(area=total)
-
-    return by_page(boxes, keys, work, ", ".join([*(f"{k} {dict(boxes.dtypes)[k]}" for k in keys), "area double"]))
+    def work(frame: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        starts, sizes = _pages(page)
+        xy, area = _corners(frame), np.zeros(len(starts))
+        for some, rows, own in _by_size(starts, sizes):
+            own = own & (xy[rows, 0] < xy[rows, 2]) & (xy[rows, 1] < xy[rows, 3])
+            x0, y0, x1, y1 = (np.where(own, xy[rows, k], np.inf) for k in range(4))
+            edges = np.sort(np.concatenate([x0, x1], axis=1), axis=1)
+            left, right = edges[:, :-1], edges[:, 1:]
+            covered, reached = np.zeros(left.shape), np.full(left.shape, -np.inf)
+            order = np.argsort(y0, axis=1, kind="stable")
+            # In each strip between two edges: the boxes from above, each by what it adds below those before it.
+            for j in order.T[: own.sum(axis=1).max(initial=0)]:
+                of = lambda v: np.take_along_axis(v, j[:, None], axis=1)
+                low = of(y1)
+                begin = np.maximum(of(y0), reached)
+                adds = of(own) & (of(x0) <= left) & (of(x1) >= right) & (low > begin)
+                covered += np.where(adds, low, 0.0) - np.where(adds, begin, 0.0)
+                reached = np.where(adds, low, reached)
+            inside = np.isfinite(right)
+            area[some] = (covered * (np.where(inside, right, 0.0) - np.where(inside, left, 0.0))).sum(axis=1)
+        return frame.iloc[starts][list(keys)].assign(area=area)
+
+    return by_pages(boxes, keys, work, ", ".join([*(f"{k} {dict(boxes.dtypes)[k]}" for k in keys), "area double"]))
