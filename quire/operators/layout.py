@@ -241,15 +241,67 @@ def cut_order(xy: np.ndarray, least_gap: float = LEAST_GAP, narrow: float = NARR
     return walk(np.arange(len(xy)))
 
 
+def _largest_gaps(low: np.ndarray, high: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_largest_gap of each row of padded intervals."""
+    order = np.argsort(np.where(own, low, np.inf), axis=1, kind="stable")
+    place = lambda v, pad: np.take_along_axis(np.where(own, v, pad), order, axis=1)
+    begin, reached = place(low, np.inf)[:, 1:], np.maximum.accumulate(place(high, -np.inf), axis=1)[:, :-1]
+    gaps = np.where(np.isfinite(begin), begin - reached, -np.inf)
+    k = gaps.argmax(axis=1)[:, None]
+    widest, where = (np.take_along_axis(v, k, axis=1)[:, 0] for v in (gaps, reached))
+    return np.where(widest > 0, widest, 0.0), np.where(widest > 0, where + widest / 2, 0.0)
+
+
+def cut_orders(xy: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least_gap: float = LEAST_GAP, narrow: float = NARROW_SHARE) -> np.ndarray:
+    """cut_order of many pages (boxes of sizes from starts on): the boxes in reading order, each page in its own places. One round cuts all regions of one depth."""
+    placed = np.arange(len(xy))
+    finite = np.isfinite(xy).all(axis=1)
+    odd = np.array([not finite[a : a + n].all() for a, n in zip(starts, sizes)], bool) if not finite.all() else np.zeros(len(starts), bool)
+    for a, n in zip(starts[odd], sizes[odd]):
+        placed[a : a + n] = a + np.array(cut_order(xy[a : a + n], least_gap, narrow))
+    starts, sizes = starts[~odd & (sizes > 1)], sizes[~odd & (sizes > 1)]
+    while len(starts):
+        more = []
+        for some, rows, own in _by_size(starts, sizes):
+            ids, size = placed[rows], sizes[some]
+            x0, y0, x1, y1 = (xy[ids, k] for k in range(4))
+            vertical, x = _largest_gaps(x0, x1, own)
+            horizontal, y = _largest_gaps(y0, y1, own)
+            width = np.where(own, x1, -np.inf).max(axis=1) - np.where(own, x0, np.inf).min(axis=1)
+            wide = own & (x1 - x0 >= narrow * width[:, None])
+            count = wide.sum(axis=1)
+            again = np.flatnonzero((vertical < least_gap) & (count > 1) & (count < size))
+            if len(again):
+                gap, where = _largest_gaps(x0[again], x1[again], wide[again])
+                better = (gap >= least_gap) & (gap > vertical[again])
+                vertical[again[better]], x[again[better]] = gap[better], where[better]
+            first = np.where((horizontal >= vertical)[:, None], (y0 + y1) / 2 < y[:, None], (x0 + x1) / 2 < x[:, None]) & own
+            n = first.sum(axis=1)
+            whole = (np.maximum(vertical, horizontal) < least_gap) | (n == 0) | (n == size)
+            region = np.broadcast_to(np.arange(len(some))[:, None], own.shape)
+            for these, by in ((own & whole[:, None], lambda m: np.lexsort((ids[m], x0[m], y0[m], region[m]))), (own & ~whole[:, None], lambda m: np.lexsort((~first[m], region[m])))):
+                placed[rows[these]] = ids[these][by(these)]
+            a, n, size = starts[some][~whole], n[~whole], size[~whole]
+            more += [(a, n), (a + n, size - n)]
+        starts, sizes = (np.concatenate(v) for v in zip(*more))
+        starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    return placed
+
+
+def _in_pages(sizes: np.ndarray) -> np.ndarray:
+    """Places from 0 within each page."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def reading_places(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str = "det_id") -> DataFrame:
     """boxes with place (from 0) in cut_order."""
 
-    def work(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(box_id)
-        order = cut_order(page[["x0", "y0", "x1", "y1"]].to_numpy(float))
-        return page.iloc[order].assign(place=np.arange(len(order)))
+    def work(frame: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        frame = frame.iloc[np.lexsort((_sortable(frame[box_id]), page))]
+        starts, sizes = _pages(page)
+        return frame.iloc[cut_orders(_corners(frame), starts, sizes)].assign(place=_in_pages(sizes))
 
-    return by_page(boxes, keys, work, _schema(boxes, "place long"))
+    return by_pages(boxes, keys, work, _schema(boxes, "place long"))
 
 
 def union_area(boxes: DataFrame, keys: Sequence[str] = ("page_idx",)) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,20 @@ def test_components_of_winding_tables(spark):
     rows = [(1, r, c) for r, c in spiral] + [(1, 5, 4)] + [(s, s, s) for s in range(2, 40)]
     got = {(r["sheet"], r["r"], r["c"]): (r["table_r"], r["table_c"]) for r in cells.components(spark.createDataFrame(rows, "sheet int, r int, c int").repartition(4)).collect()}
     assert got == {(1, r, c): (0, 0) for r, c in spiral} | {(1, 5, 4): (5, 4)} | {(s, s, s): (s, s) for s in range(2, 40)}
+
+
+def test_cuts_of_many_pages(pages, spark, sf):
+    made, df = pages
+    got = {}
+    for r in layout.reading_places(df).collect():
+        got.setdefault(r["page_idx"], {})[r["place"]] = r["det_id"]
+    for p, boxes in made.items():
+        assert [got[p][i] for i in range(len(boxes))] == layout.cut_order(np.array([b[1:5] for b in boxes])), p
+    assert exchanges(QUERIES["xycut_order"](spark, sf)) == 1
+
+
+def test_cuts_of_narrow_bridges_and_missing_edges():
+    xy = np.array([[0, 0, 40, 10], [60, 0, 100, 10], [0, 20, 40, 30], [60, 20, 100, 30], [38, 12, 44, 18], [np.nan, 0, 1, 1], [0, 0, 9, 9], [0, 20, 9, 29]], float)
+    starts, sizes = np.array([0, 5, 6]), np.array([5, 1, 2])
+    want = [a + k for a, n in zip(starts, sizes) for k in layout.cut_order(xy[a : a + n])]
+    assert layout.cut_orders(xy, starts, sizes).tolist() == want
