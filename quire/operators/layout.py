@@ -186,18 +186,21 @@ def header_or_footer(kind: Column, box: Box, page_height: Column) -> Column:
 def rows_first(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str = "det_id", same_row: float = SAME_ROW) -> DataFrame:
     """boxes with place (from 0): by y, then x; a box moves before its forerunner while both begin within same_row of height and it begins further left."""
 
-    def work(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", box_id], kind="stable")
-        order, x, y = list(range(len(page))), page["x0"].to_numpy(), page["y0"].to_numpy()
-        for i in range(len(order) - 1):
-            for j in range(i, -1, -1):
-                a, b = order[j], order[j + 1]
-                if abs(y[b] - y[a]) >= same_row or x[b] >= x[a]:
-                    break
-                order[j], order[j + 1] = b, a
-        return page.iloc[order].assign(place=np.arange(len(order)))
+    def work(frame: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        frame = frame.iloc[np.lexsort((_sortable(frame[box_id]), frame["x0"].to_numpy(), frame["y0"].to_numpy(), page))]
+        starts, sizes = _pages(page)
+        x, y, placed = frame["x0"].to_numpy().copy(), frame["y0"].to_numpy().copy(), np.arange(len(frame))
+        for i in range(sizes.max() - 1):
+            at = starts[sizes > i + 1] + i  # of each page the box that may go back, one place behind
+            while len(at):
+                back = ~(np.abs(y[at + 1] - y[at]) >= same_row) & ~(x[at + 1] >= x[at])
+                at = at[back]
+                for v in (x, y, placed):
+                    v[at], v[at + 1] = v[at + 1], v[at]
+                at = at[~np.isin(at, starts)] - 1
+        return frame.iloc[placed].assign(place=_in_pages(sizes))
 
-    return by_page(boxes, keys, work, _schema(boxes, "place long"))
+    return by_pages(boxes, keys, work, _schema(boxes, "place long"))
 
 
 def _largest_gap(low: np.ndarray, high: np.ndarray) -> tuple[float, float]:

@@ -85,3 +85,20 @@ def test_cuts_of_narrow_bridges_and_missing_edges():
     starts, sizes = np.array([0, 5, 6]), np.array([5, 1, 2])
     want = [a + k for a, n in zip(starts, sizes) for k in layout.cut_order(xy[a : a + n])]
     assert layout.cut_orders(xy, starts, sizes).tolist() == want
+
+
+def test_rows_first_of_many_pages(pages, spark, sf):
+    made, df = pages
+    got = {}
+    for r in layout.rows_first(df).collect():
+        got.setdefault(r["page_idx"], {})[r["place"]] = r["det_id"]
+    for p, boxes in made.items():
+        order = sorted(boxes, key=lambda b: (b[2], b[1], b[0]))
+        for i in range(len(order) - 1):
+            for j in range(i, -1, -1):
+                a, b = order[j], order[j + 1]
+                if abs(b[2] - a[2]) >= layout.SAME_ROW or b[1] >= a[1]:
+                    break
+                order[j], order[j + 1] = b, a
+        assert [got[p][i] for i in range(len(order))] == [b[0] for b in order], p
+    assert exchanges(QUERIES["sorted_boxes"](spark, sf)) == 1
