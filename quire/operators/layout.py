@@ -132,16 +132,17 @@ def _iou(box: np.ndarray, others: np.ndarray) -> np.ndarray:
 def suppress(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str = "det_id", most: float = NMS_IOU) -> DataFrame:
     """Greedy suppression: by falling score (ties: box_id), a box goes if a kept one overlaps it by more than `most` (IoU), whatever the classes."""
 
-    def work(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["score", box_id], ascending=[False, True], kind="stable")
-        xy = page[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        over, kept = np.triu(_iou(xy[:, None], xy) > most, 1), np.ones(len(xy), bool)
-        for i in np.flatnonzero(over.any(axis=1)):
-            if kept[i]:
-                kept &= ~over[i]
-        return page[kept]
-
-    return by_page(boxes, keys, work, _schema(boxes))
+    def work(frame: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        frame = frame.iloc[np.lexsort((_sortable(frame[box_id]), -frame["score"].to_numpy(float), page))]
+        xy, kept = _corners(frame), np.ones(len(frame), bool)
+        for _, rows, own in _by_size(*_pages(page)):
+            box, stays = xy[rows], own.copy()
+            for i in range(own.shape[1] - 1):
+                stays[:, i + 1 :] &= ~(stays[:, i, None] & (_iou(box[:, i, None], box[:, i + 1 :]) > most))
+            kept[rows[own]] = stays[own]
+        return frame[kept]
+
+    return by_pages(boxes, keys, work, _schema(boxes))
 
 
 def merge_nested_formulas(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str = "det_id", overlap: float = NESTED_FORMULA) -> DataFrame:

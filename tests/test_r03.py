@@ -102,3 +102,17 @@ def test_rows_first_of_many_pages(pages, spark, sf):
                 order[j], order[j + 1] = b, a
         assert [got[p][i] for i in range(len(order))] == [b[0] for b in order], p
     assert exchanges(QUERIES["sorted_boxes"](spark, sf)) == 1
+
+
+def test_suppression_in_many_pages(pages, spark, sf):
+    made, df = pages
+    kept = {p: set() for p in made}
+    for r in layout.suppress(df, most=0.3).collect():
+        kept[r["page_idx"]].add(r["det_id"])
+    for p, boxes in made.items():
+        want = []
+        for b in sorted(boxes, key=lambda b: (-b[5], b[0])):
+            if not any(layout._iou(np.array(o[1:5]), np.array([b[1:5]]))[0] > 0.3 for o in want):
+                want.append(b)
+        assert kept[p] == {b[0] for b in want}, p
+    assert exchanges(QUERIES["nms_dedup"](spark, sf)) == 1
