@@ -22,33 +22,6 @@ from quire.operators.spatial import pairs
 NMS_IOU, NESTED_FORMULA, FORMULA_COVER, SAME_ROW, LEAST_GAP, NARROW_SHARE = 0.9, 0.7, 0.7, 10.0, 5.0, 0.1
 
 
-def by_page(boxes: DataFrame, keys: Sequence[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """work on each page. Pages are dealt and sorted by key, so a batch holds many of them whole; only its last page waits for the next batch."""
-    names = list(keys)
-
-    def whole_pages(frame: pd.DataFrame) -> tuple[list[pd.DataFrame], pd.DataFrame]:
-        same = np.ones(max(len(frame) - 1, 0), bool)
-        for k in names:
-            column = frame[k].to_numpy()
-            same &= column[1:] == column[:-1]
-        edges = [0, *(np.flatnonzero(~same) + 1).tolist()]
-        return [frame.iloc[a:b] for a, b in zip(edges, edges[1:])], frame.iloc[edges[-1] :]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            frame = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
-            if not len(frame):
-                continue
-            pages, rest = whole_pages(frame)
-            if pages:
-                yield pd.concat([work(p) for p in pages], ignore_index=True)
-        if rest is not None and len(rest):
-            yield work(rest)
-
-    return boxes.repartition(*names).sortWithinPartitions(*names).mapInPandas(run, schema)
-
-
 def by_pages(boxes: DataFrame, keys: Sequence[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """work on whole pages, many at a time: it gets their rows and, from 0, the number of each row's page; rows of a page stand together.
 
@@ -148,8 +121,7 @@ def suppress(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str
 def merge_nested_formulas(boxes: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str = "det_id", overlap: float = NESTED_FORMULA) -> DataFrame:
     """Formula boxes that cover each other by `overlap` of the smaller one become their union, until none do. The better score stays, with its id."""
 
-    def work(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values(box_id).to_dict("records")
+    def merged(rows: list[dict]) -> list[dict]:
         changed = True
         while changed:
             changed = False
@@ -167,9 +139,26 @@ def merge_nested_formulas(boxes: DataFrame, keys: Sequence[str] = ("page_idx",),
                         break
                 if changed:
                     break
-        return pd.DataFrame(rows, columns=page.columns)
+        return rows
+
+    def work(frame: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        frame = frame.iloc[np.lexsort((_sortable(frame[box_id]), page))]
+        starts, sizes = _pages(page)
+        xy, met = _corners(frame), np.zeros(len(starts), bool)
+        for some, rows, own in _by_size(starts, sizes):
+            x0, y0, x1, y1 = (np.where(own, xy[rows, k], np.nan) for k in range(4))
+            area = (x1 - x0) * (y1 - y0)
+            for i in range(own.shape[1] - 1):
+                a, b = np.s_[:, i, None], np.s_[:, i + 1 :]
+                w, h, small = np.minimum(x1[a], x1[b]) - np.maximum(x0[a], x0[b]), np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b]), np.minimum(area[a], area[b])
+                some_area = (w > 0) & (h > 0) & (small > 0)
+                met[some] |= (some_area & (w * h / np.where(some_area, small, 1) >= overlap)).any(axis=1)
+        # Only pages on which two boxes meet are worked on one by one.
+        alone = frame[~met[page]]
+        done = [r for p in np.flatnonzero(met) for r in merged(frame.iloc[starts[p] : starts[p] + sizes[p]].to_dict("records"))]
+        return pd.concat([alone, pd.DataFrame(done, columns=frame.columns)], ignore_index=True) if done else alone
 
-    return by_page(boxes, keys, work, _schema(boxes))
+    return by_pages(boxes, keys, work, _schema(boxes))
 
 
 def relabel_formulas(formulas: DataFrame, parents: DataFrame, keys: Sequence[str] = ("page_idx",), box_id: str = "det_id", cover: float = FORMULA_COVER) -> DataFrame:

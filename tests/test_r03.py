@@ -116,3 +116,12 @@ def test_suppression_in_many_pages(pages, spark, sf):
                 want.append(b)
         assert kept[p] == {b[0] for b in want}, p
     assert exchanges(QUERIES["nms_dedup"](spark, sf)) == 1
+
+
+def test_nested_formulas_of_many_pages(spark, sf):
+    alone = [(p, k, 10.0 * k, 0.5, 10.0 * k + 8, 5.5, 0.5) for p in range(40) for k in range(p % 5)]
+    chain = [(100, 0, 0.0, 0.0, 10.0, 10.0, 0.2), (100, 1, 1.5, 1.0, 9.0, 9.0, 0.9), (100, 2, 0.0, 2.0, 10.4, 11.0, 0.5), (100, 3, 50.0, 50.0, 60.5, 60.0, 0.9)]
+    df = spark.createDataFrame(alone + chain, "page_idx long, det_id long, x0 double, y0 double, x1 double, y1 double, score double").repartition(4)
+    want = {*alone, (100, 1, 0.0, 0.0, 11.0, 11.0, 0.9), chain[3]}
+    assert {tuple(r) for r in layout.merge_nested_formulas(df).collect()} == want
+    assert exchanges(QUERIES["nested_formulas_merged"](spark, sf)) == 1
