@@ -1,15 +1,21 @@
 """The grid behind rows of cells with spans: which cell covers which column of which row, and what follows from it.
 
-Rows are arrays of cells (structs with text, colspan, rowspan). The grid is a fold over them; everything else reads the grid.
+Rows are arrays of cells (structs with text, colspan, rowspan). The grid and the rows of recognised tokens are made cell after cell, by Arrow functions;
+everything else are expressions that read the grid. A lambda must not name an Arrow function, so what such a function gives is bound first.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quire.functions.text import half_width, strip
-from quire.operators.tables import HEADER_ROWS, row_columns, signature
+from quire.operators.tables import HEADER_ROWS, ROWS, by_slices, row_columns, signature
 
 #: A cell's number is its row times this plus its place in the row.
 _PER_ROW = 100_000
@@ -20,40 +26,69 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def covered(rows: list[list[tuple[int, int]]]) -> list[list[int | None]]:
+    """The grid of rows of (colspan, rowspan)."""
+    reach, source, out = [], [], []  # by column: rows below that a cell still covers, and its number
+    for number, row in enumerate(rows):
+        new, at = {}, 0
+        for i, (colspan, rowspan) in enumerate(row):
+            while at < len(reach) and reach[at]:
+                at += 1
+            for at in range(at, at + colspan):
+                new[at] = (rowspan - 1, number * _PER_ROW + i)
+            at += colspan > 0
+        more = max(new, default=-1) + 1 - len(reach)
+        reach += [0] * more
+        source += [None] * more
+        line = [source[k] if n else None for k, n in enumerate(reach)]
+        reach = [n - 1 if n else 0 for n in reach]
+        for k, (n, cell) in new.items():
+            line[k] = cell
+            if n >= reach[k]:
+                reach[k], source[k] = n, cell
+        while line and line[-1] is None:
+            line.pop()
+        out.append(line)
+    return out
+
+
+def _nested(tables: list[list[list] | None], items: pa.Array) -> pa.Array:
+    """Rows of tables over their items, which follow each other."""
+    of_row, of_table, n = [0], [0], 0
+    for table in tables:
+        for row in table or ():
+            n += len(row)
+            of_row.append(n)
+        of_table.append(len(of_row) - 1)
+    rows = pa.ListArray.from_arrays(pa.array(of_row, pa.int32()), items)
+    return pa.ListArray.from_arrays(pa.array(of_table, pa.int32()), rows, mask=pa.array([t is None for t in tables], pa.bool_()))
+
+
+def _spans(tables: pa.Array) -> list[list[list[tuple[int, int]]] | None]:
+    """Rows of (colspan, rowspan), without the texts; a span that is missing counts as 1."""
+    of_table, of_row = tables.offsets.to_pylist(), tables.values.offsets.to_pylist()
+    first, last = of_row[of_table[0]], of_row[of_table[-1]]
+    cells = tables.values.values.slice(first, last - first)
+    pairs = list(zip(*(pc.fill_null(pc.struct_field(cells, k), 1).to_pylist() for k in ("colspan", "rowspan"))))
+    return [[pairs[of_row[r] - first : of_row[r + 1] - first] for r in range(a, b)] if known else None for a, b, known in zip(of_table, of_table[1:], tables.is_valid().to_pylist())]
+
+
 def grid(rows: Column) -> Column:
     """For each row, by column, the number of the cell that covers it; null where none does.
 
     A cell takes the first free column at or after the end of the one before. A wide cell covers what it meets; of two cells that reach below,
     the one that reaches further holds the column.
     """
-    spot, spots = "struct<n:int,src:int>", "array<struct<n:int,src:int>>"
-    zero = F.struct(F.array().cast(spots).alias("held"), F.array().cast("array<array<int>>").alias("out"))
-    reach = lambda h: F.coalesce(h["n"], F.lit(0))
-
-    def step(state: Column, row: Column) -> Column:
-        number = F.size(state["out"]) * _PER_ROW
-        cells = F.transform(row, lambda c, i: F.struct(c["colspan"].alias("colspan"), c["rowspan"].alias("rowspan"), (number + i).alias("src")))
-        start = F.struct(F.lit(0).alias("at"), state["held"].alias("held"), F.array().cast(spots).alias("new"))
 
-        def put(s: Column, c: Column) -> Column:
-            places = F.sequence(s["at"], F.greatest(F.size(s["held"]), s["at"]))
-            free = F.array_min(F.filter(places, lambda k: reach(F.get(s["held"], k)) == 0))
-            gap = F.array_repeat(F.lit(None).cast(spot), F.greatest(free - F.size(s["new"]), F.lit(0)))
-            mine = F.array_repeat(F.struct((c["rowspan"] - 1).alias("n"), c["src"].alias("src")), c["colspan"])
-            return F.struct((free + c["colspan"]).alias("at"), s["held"].alias("held"), F.concat(s["new"], gap, mine).alias("new"))
+    def some(tables: pa.Array) -> pa.Array:
+        grids = [None if t is None else covered(t) for t in _spans(tables)]
+        return _nested(grids, pa.array([x for g in grids for line in g or () for x in line], pa.int32()))
 
-        def close(s: Column) -> Column:
-            width = F.greatest(F.size(s["held"]), F.size(s["new"]))
-            both = F.transform(F.slice(F.sequence(F.lit(0), width), F.lit(1), width), lambda k: F.struct(F.get(s["held"], k).alias("old"), F.get(s["new"], k).alias("new")))
-            line = F.transform(both, lambda b: F.coalesce(b["new"]["src"], F.when(reach(b["old"]) > 0, b["old"]["src"])))
-            last = F.coalesce(F.array_max(F.transform(line, lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
-            below = lambda b: F.greatest(reach(b["old"]) - 1, F.lit(0))
-            held = F.transform(both, lambda b: F.when(b["new"].isNotNull() & (b["new"]["n"] >= below(b)), b["new"]).otherwise(F.struct(below(b).alias("n"), b["old"]["src"].alias("src"))))
-            return F.struct(held.cast(spots).alias("held"), F.concat(state["out"], F.array(F.slice(line, F.lit(1), last))).alias("out"))
+    @arrow_udf("array<array<int>>")
+    def of_batch(values: pa.Array) -> pa.Array:
+        return by_slices(values, some)
 
-        return F.aggregate(cells, start, put, close)
-
-    return F.aggregate(rows, zero, step, lambda s: s["out"])
+    return of_batch(rows)
 
 
 def width(of: Column) -> Column:
@@ -84,7 +119,7 @@ def segment_count(of: Column, row: Column) -> Column:
 
 def _leading(flags: Column) -> Column:
     """How many flags are set before the first that isn't."""
-    return F.coalesce(F.array_min(F.transform(flags, lambda x, i: F.when(~F.coalesce(x, F.lit(False)), i))), F.size(flags))
+    return _let(flags, lambda known: F.coalesce(F.array_min(F.transform(known, lambda x, i: F.when(~F.coalesce(x, F.lit(False)), i))), F.size(known)))
 
 
 def shared_header(first: Column, second: Column, grid1: Column, grid2: Column, most: int = HEADER_ROWS) -> Column:
@@ -102,25 +137,29 @@ def shared_header(first: Column, second: Column, grid1: Column, grid2: Column, m
 def whole_header(rows: Column, count: Column) -> Column:
     """count rows and all rows that their rowspans reach into."""
     reach = F.transform(rows, lambda r, i: F.struct(i.alias("at"), (i + F.coalesce(F.array_max(F.transform(r, lambda c: c["rowspan"])), F.lit(1))).alias("to")))
-    most = F.aggregate(reach, F.least(count, F.size(rows)), lambda e, x: F.when(x["at"] < e, F.least(F.greatest(e, x["to"]), F.size(rows))).otherwise(e))
-    return F.when(count > 0, most).otherwise(count)
+    most = lambda n: F.aggregate(reach, F.least(n, F.size(rows)), lambda e, x: F.when(x["at"] < e, F.least(F.greatest(e, x["to"]), F.size(rows))).otherwise(e))
+    return _let(count, lambda n: F.when(n > 0, most(n)).otherwise(n))
+
 
+def rows_meet(upper: Column, lower: Column, grid1: Column, grid2: Column, most: int = HEADER_ROWS, shared: Column | None = None) -> Column:
+    """Whether the last row of a table with cells and the first row of the next one behind the shared header have as many columns or segments.
 
-def rows_meet(upper: Column, lower: Column, grid1: Column, grid2: Column, most: int = HEADER_ROWS) -> Column:
-    """Whether the last row of a table with cells and the first row of the next one behind the shared header have as many columns or segments."""
+    shared: shared_header of both where it is known.
+    """
     last = F.array_max(F.transform(upper, lambda r, i: F.when(F.size(r) > 0, i)))
-    head = whole_header(lower, shared_header(upper, lower, grid1, grid2, most))
+    head = whole_header(lower, shared_header(upper, lower, grid1, grid2, most) if shared is None else shared)
 
     def compare(a: Column, b: Column) -> Column:
         same = (F.size(F.get(grid1, a)) == F.size(F.get(grid2, b))) | (row_columns(F.get(upper, a)) == row_columns(F.get(lower, b))) | (segment_count(grid1, a) == segment_count(grid2, b))
         return F.coalesce(same, F.lit(False)) & (b < F.least(F.size(lower), F.lit(most + 1)))
 
-    return F.when(last.isNull(), False).otherwise(_let(head, lambda b: compare(last, b)))
+    return _let(last, lambda a: F.when(a.isNull(), False).otherwise(_let(head, lambda b: compare(a, b))))
 
 
-def fits_below(upper: Column, lower: Column) -> Column:
-    """Whether a table can go on in another by structure: as many columns in all, or rows that meet."""
-    return _let(F.struct(grid(upper).alias("a"), grid(lower).alias("b")), lambda g: (width(g["a"]) == width(g["b"])) | rows_meet(upper, lower, g["a"], g["b"]))
+def fits_below(upper: Column, lower: Column, grid1: Column | None = None, grid2: Column | None = None, shared: Column | None = None) -> Column:
+    """Whether a table can go on in another by structure: as many columns in all, or rows that meet. The grids and shared_header are given where they are known."""
+    both = F.struct((grid(upper) if grid1 is None else grid1).alias("a"), (grid(lower) if grid2 is None else grid2).alias("b"))
+    return _let(both, lambda g: (width(g["a"]) == width(g["b"])) | rows_meet(upper, lower, g["a"], g["b"], shared=shared))
 
 
 def widened(rows: Column, of: Column, begin: Column, end: Column, model: Column, target: Column) -> Column:
@@ -128,6 +167,11 @@ def widened(rows: Column, of: Column, begin: Column, end: Column, model: Column,
 
     A row with as many cells as the model row, and its colspans, takes the model's spans (array of struct(colspan, wanted)); in others the last cell grows.
     """
+    known = F.struct(rows.alias("rows"), of.alias("of"), begin.alias("begin"), end.alias("end"), model.alias("model"), target.alias("target"))
+    return _let(known, lambda s: _widened(*(s[k] for k in ("rows", "of", "begin", "end", "model", "target"))))
+
+
+def _widened(rows: Column, of: Column, begin: Column, end: Column, model: Column, target: Column) -> Column:
     def fit(row: Column, i: Column) -> Column:
         narrow = (i >= begin) & (i < end) & (F.size(row) > 0) & (F.size(F.get(of, i)) < target) & (row_columns(row) < target)
         alike = F.transform(row, lambda c: c["colspan"]) == F.transform(model, lambda m: m["colspan"])
@@ -138,52 +182,73 @@ def widened(rows: Column, of: Column, begin: Column, end: Column, model: Column,
     return F.transform(rows, fit)
 
 
+_SPAN = re.compile(r"span=[\"']?([0-9]+)")
+
+
+def cells_of_tokens(tokens: list[str | None]) -> list[list[tuple[int | None, int | None]]]:
+    """Rows of (colspan, rowspan)."""
+    rows, inside, colspan, rowspan = [], False, 1, 1
+
+    def number(token: str) -> int | None:
+        found = _SPAN.search(token)
+        return int(found[1]) if found and int(found[1]) < 1 << 31 else None
+
+    for t in tokens:
+        t = t or ""
+        closes = inside and t.startswith(">")
+        if t == "<tr>":
+            rows.append([])
+        elif t == "<td></td>" or closes:
+            if not rows:
+                rows.append([])
+            rows[-1].append((colspan, rowspan) if closes else (1, 1))
+        if closes or t.startswith("<td") and t != "<td></td>":
+            inside, colspan, rowspan = not closes, 1, 1
+        elif inside and "span=" in t:
+            colspan, rowspan = number(t) if "colspan=" in t else colspan, number(t) if "rowspan=" in t else rowspan
+    return rows
+
+
 def rows_of_tokens(tokens: Column) -> Column:
     """Rows of cells from the tokens of a recognised table structure: <tr>, <td></td>, and <td with its spans up to >."""
-    kind = "array<array<struct<text:string,colspan:int,rowspan:int>>>"
-    number = lambda t: F.regexp_extract(t, r"span=[\"']?(\d+)", 1).try_cast("int")
-    zero = F.struct(F.array().cast(kind).alias("rows"), F.lit(False).alias("open"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))
 
-    def step(s: Column, t: Column) -> Column:
-        def with_cell(c: Column, r: Column) -> Column:
-            cell = F.struct(F.lit("").alias("text"), c.alias("colspan"), r.alias("rowspan"))
-            n = F.size(s["rows"])
-            return F.when(n > 0, F.concat(F.slice(s["rows"], F.lit(1), n - 1), F.array(F.concat(F.element_at(s["rows"], -1), F.array(cell))))).otherwise(F.array(F.array(cell)))
+    def some(values: pa.Array) -> pa.Array:
+        tables = [None if v is None else cells_of_tokens(v) for v in values.to_pylist()]
+        cells = [c for t in tables for row in t or () for c in row]
+        made = [pa.array([""] * len(cells), pa.string()), *(pa.array([c[k] for c in cells], pa.int32()) for k in (0, 1))]
+        return _nested(tables, pa.StructArray.from_arrays(made, ["text", "colspan", "rowspan"]))
 
-        whole, opens, closes = t == "<td></td>", t.startswith("<td") & (t != "<td></td>"), s["open"] & t.startswith(">")
-        rows = F.when(t == "<tr>", F.concat(s["rows"], F.array(F.array()).cast(kind))).when(whole, with_cell(F.lit(1), F.lit(1))).when(closes, with_cell(s["colspan"], s["rowspan"])).otherwise(s["rows"])
-        inside = F.when(opens, True).when(closes, False).otherwise(s["open"])
-        fresh = opens | closes
-        return F.struct(
-            rows.alias("rows"), inside.alias("open"), F.when(fresh, 1).when(s["open"] & t.contains("colspan="), number(t)).otherwise(s["colspan"]).alias("colspan"),
-            F.when(fresh, 1).when(s["open"] & t.contains("rowspan="), number(t)).otherwise(s["rowspan"]).alias("rowspan"),
-        )
+    @arrow_udf(ROWS)
+    def of_batch(values: pa.Array) -> pa.Array:
+        return by_slices(values, some)
 
-    return F.aggregate(tokens, zero, step, lambda s: s["rows"])
+    return of_batch(tokens)
 
 
 def logic_points(rows: Column) -> Column:
     """array<array<int>>: first and last row, first and last column of each cell, in order."""
-    def points(of: Column) -> Column:
+    def points(table: Column) -> Column:
         def of_row(row: Column, i: Column) -> Column:
-            at = first_columns(of, i)
-            return F.transform(row, lambda c, k: F.array(i, i + c["rowspan"] - 1, F.get(at, k), F.get(at, k) + c["colspan"] - 1))
+            point = lambda c, at: F.array(i, i + c["rowspan"] - 1, at, at + c["colspan"] - 1)
+            return F.zip_with(row, first_columns(table["of"], i), point)
 
-        return F.flatten(F.transform(rows, of_row))
+        return F.flatten(F.transform(table["rows"], of_row))
 
-    return _let(grid(rows), points)
+    return _let(F.struct(rows.alias("rows"), grid(rows).alias("of")), points)
 
 
 def filled_structure(tokens: Column, texts: Column) -> Column:
     """The HTML of recognised tokens with each cell's text (texts: array of strings by cell, null for none); heads and bodies are left out."""
-    ends = F.transform(tokens, lambda t: t.contains("</td>").cast("int"))
-    before = lambda i: F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda n, x: n + x)
+    def made(table: Column, ends: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            text = F.coalesce(F.get(table["texts"], (F.array_position(ends, i) - 1).cast("int")), F.lit(""))
+            return F.when(~t.contains("</td>"), t).when(t == "<td></td>", F.concat(F.lit("<td>"), text, F.lit("</td>"))).otherwise(F.concat(text, t))
 
-    def one(t: Column, i: Column) -> Column:
-        text = F.coalesce(F.get(texts, before(i)), F.lit(""))
-        return F.when(~t.contains("</td>"), t).when(t == "<td></td>", F.concat(F.lit("<td>"), text, F.lit("</td>"))).otherwise(F.concat(text, t))
+        return F.transform(table["tokens"], one)
 
-    return F.array_join(F.filter(F.transform(tokens, one), lambda t: ~t.isin("<thead>", "</thead>", "<tbody>", "</tbody>")), "")
+    ends = lambda table: F.array_compact(F.transform(table["tokens"], lambda t, i: F.when(t.contains("</td>"), i)))
+    filled = _let(F.struct(tokens.alias("tokens"), texts.alias("texts")), lambda table: _let(ends(table), lambda e: made(table, e)))
+    return F.array_join(F.filter(filled, lambda t: ~t.isin("<thead>", "</thead>", "<tbody>", "</tbody>")), "")
 
 
 def joined_cell(contents: Column) -> Column:

@@ -6,7 +6,7 @@ shuffled but the neighbours in page order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -68,6 +68,15 @@ def rows_of_html(html: str) -> list[list[dict]]:
     return parser.rows
 
 
+#: Tables that are Python objects at once.
+_AT_ONCE = 256
+
+
+def by_slices(values: pa.Array, work: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """work on a few values at a time, so that what a batch takes in Python does not grow with the batch."""
+    return pa.concat_arrays([work(values.slice(i, _AT_ONCE)) for i in range(0, max(len(values), 1), _AT_ONCE)])
+
+
 def parse(html: Column) -> Column:
     """Rows of cells (text, colspan, rowspan) of an HTML table; null for null."""
 

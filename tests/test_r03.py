@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import latex
-from quire.operators import cells, layout, sequence
+from quire.operators import cells, grids, layout, sequence, tables
 from quire.plans import QUERIES
 
 
@@ -58,8 +58,8 @@ def test_area_of_many_pages(pages, spark, sf):
 
 
 def test_gap_choice_deals_sheets_once(spark, sf):
-    assert exchanges(QUERIES["gap_choice"](spark, sf)) == 0  # the one by sheet is a repartition
-    assert exchanges(QUERIES["xlsx_components"](spark, sf)) == 1
+    assert exchanges(QUERIES["gap_choice"](spark, sf)) == 1
+    assert exchanges(QUERIES["xlsx_components"](spark, sf)) == 2
 
 
 def test_components_of_winding_tables(spark):
@@ -125,3 +125,22 @@ def test_nested_formulas_of_many_pages(spark, sf):
     want = {*alone, (100, 1, 0.0, 0.0, 11.0, 11.0, 0.9), chain[3]}
     assert {tuple(r) for r in layout.merge_nested_formulas(df).collect()} == want
     assert exchanges(QUERIES["nested_formulas_merged"](spark, sf)) == 1
+
+
+def test_grid_of_many_tables(spark):
+    """More tables than are worked on at once, nulls and empty ones among them; wide cells meet cells that reach below."""
+    cell = lambda c, r: ("", c, r)
+    some = [[[cell(1, 3), cell(2, 1)], [cell(1, 1)], [cell(3, 2), cell(1, 1)], [], [cell(1, 1)]], [], None, [[]]]
+    df = spark.createDataFrame([(i, some[i % 4]) for i in range(2000)], f"i int, rows {tables.ROWS}").coalesce(1)
+    n = 100_000
+    want = [[[0, 1, 1], [0, n], [0, 2 * n, 2 * n, 2 * n, 2 * n + 1], [None, 2 * n, 2 * n, 2 * n], [4 * n]], [], None, [[]]]
+    assert all(r["g"] == want[r["i"] % 4] for r in df.select("i", grids.grid(F.col("rows")).alias("g")).collect())
+
+
+def test_texts_of_a_structure_are_worked_out_once(spark):
+    texts = F.transform(F.sequence(F.lit(1), "n"), lambda k: F.concat(F.lit("marked"), k.cast("string")))
+    df = spark.createDataFrame([("<tr> <td></td> <td></td> </tr>", 2)], "t string, n int")
+    made = df.select(grids.filled_structure(F.split("t", " "), texts).alias("html"))
+    assert made.first()["html"] == "<tr><td>marked1</td><td>marked2</td></tr>"
+    assert made._jdf.queryExecution().analyzed().toString().count("marked") == 1
+    assert grids.cells_of_tokens(["<td></td>", "<tr>", "<td", ' rowspan="2"', " colspan='x'", ">", "</td>", None]) == [[(1, 1)], [(None, 2)]]
