@@ -43,8 +43,9 @@ def _pairs(spark, sf_dir):
 @query()
 def table_continuity(spark, sf_dir):
     rows = _pairs(spark, sf_dir).withColumns({"a": grids.grid(F.col("upper")), "b": grids.grid(F.col("lower"))})
-    head = grids.shared_header(F.col("upper"), F.col("lower"), F.col("a"), F.col("b"))
-    return rows.select("sheet", head.alias("header"), grids.whole_header(F.col("lower"), head).alias("whole"), grids.rows_meet(F.col("upper"), F.col("lower"), F.col("a"), F.col("b")).alias("meet"), grids.fits_below(F.col("upper"), F.col("lower")).alias("fits"))
+    tables = F.col("upper"), F.col("lower"), F.col("a"), F.col("b")
+    rows, head = rows.withColumn("header", grids.shared_header(*tables)), F.col("header")
+    return rows.select("sheet", "header", grids.whole_header(F.col("lower"), head).alias("whole"), grids.rows_meet(*tables, shared=head).alias("meet"), grids.fits_below(*tables, shared=head).alias("fits"))
 
 
 @query()
