@@ -84,7 +84,10 @@ def parse(html: Column) -> Column:
 
     @arrow_udf(ROWS)
     def cells(values: pa.Array) -> pa.Array:
-        # A text that stands in the batch again is parsed once.
+        return by_slices(values, some)
+
+    def some(values: pa.Array) -> pa.Array:
+        # A text that stands in the slice again is parsed once.
         coded = values.dictionary_encode()
         return pa.array([rows_of_html(v) for v in coded.dictionary.to_pylist()], pa.list_(pa.list_(cell))).take(coded.indices)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,14 @@ def test_texts_of_a_structure_are_worked_out_once(spark):
     assert made.first()["html"] == "<tr><td>marked1</td><td>marked2</td></tr>"
     assert made._jdf.queryExecution().analyzed().toString().count("marked") == 1
     assert grids.cells_of_tokens(["<td></td>", "<tr>", "<td", ' rowspan="2"', " colspan='x'", ">", "</td>", None]) == [[(1, 1)], [(None, 2)]]
+
+
+def test_slices_bound_what_is_held(spark):
+    seen = []
+    values = pa.array(list(range(1000)) + [None])
+    got = tables.by_slices(values, lambda v: (seen.append(len(v)), v)[1])
+    assert got.equals(values) and max(seen) <= 256
+    assert tables.by_slices(values.slice(0, 0), lambda v: v).equals(values.slice(0, 0))
+    html = [f"<table><tr><td>{i % 300}</td></tr></table>" if i % 7 else None for i in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(html)), "i int, h string").coalesce(1).select("i", tables.parse(F.col("h")).alias("r")).collect()
+    assert all((r["r"] is None) == (r["i"] % 7 == 0) and (r["r"] is None or r["r"][0][0]["text"] == str(r["i"] % 300)) for r in rows)
