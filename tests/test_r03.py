@@ -182,5 +182,5 @@ def test_text_steps_at_the_edges(spark):
 @pytest.mark.parametrize("name", ["content_list", "content_list_v2"])
 def test_documents_are_rendered_once(spark, sf, name):
     count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("is_list_start_line")
-    once = cases(spark, sf).select("doc_id", F.transform(document_queries._blocks(F.col("text")), document_queries._body))
+    once = cases(spark, sf).select("doc_id", F.transform(document_queries._blocks(F.col("text")), document_queries._body).alias("b"))
     assert count(QUERIES[name](spark, sf)) == count(once)
